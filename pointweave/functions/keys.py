@@ -43,33 +43,19 @@ def unpack21(key):
     return tuple(F.when(f >= AXIS_BIAS, f - (AXIS_MASK + 1)).otherwise(f) for f in fields)
 
 
-def _spread_steps():
-    """(shift, mask) pairs that move bit i of a 21-bit number to bit 3i."""
-    steps = []
-    width = 32
-    while width >= 2:
-        mask = 0
-        for bit in range(AXIS_BITS):
-            group = bit // (width // 2)
-            offset = bit % (width // 2)
-            mask |= 1 << (group * 3 * (width // 2) + offset)
-        steps.append((width, mask))
-        width //= 2
-    return steps
-
-
 def _spread(value: Column) -> Column:
-    out = value.bitwiseAND(F.lit(AXIS_MASK))
-    for shift, mask in _spread_steps():
-        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
+    """Move bit i to bit 3i; one linear sum, so the expression stays small."""
+    out = value.bitwiseAND(F.lit(1))
+    for bit in range(1, AXIS_BITS):
+        out = out.bitwiseOR(F.shiftleft(value.bitwiseAND(F.lit(1 << bit)), 2 * bit))
     return out
 
 
 def _gather(value: Column) -> Column:
-    steps = _spread_steps()
-    out = value.bitwiseAND(F.lit(steps[-1][1]))
-    for (shift, _), mask in zip(reversed(steps), [m for _, m in reversed(steps[:-1])] + [AXIS_MASK]):
-        out = out.bitwiseOR(F.shiftrightunsigned(out, shift)).bitwiseAND(F.lit(mask))
+    """Inverse of ``_spread``."""
+    out = value.bitwiseAND(F.lit(1))
+    for bit in range(1, AXIS_BITS):
+        out = out.bitwiseOR(F.shiftrightunsigned(value.bitwiseAND(F.lit(1 << (3 * bit))), 2 * bit))
     return out
 
 

@@ -44,12 +44,23 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows evenly over all shuffle partitions.
+
+    Used in front of steps that multiply rows: there the work follows the row
+    count, while files and AQE coalescing follow bytes and would leave a small
+    but expensive input to one or two tasks. A fixed number is not coalesced.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def cut(df: DataFrame, key: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from that table.
 
     A written table survives lost executors, is computed once however often it
-    is read, and gives the planner true sizes for the joins that follow.
+    is read, and gives the planner true sizes for the joins that follow. With
+    ``key`` the rows are dealt evenly over the files.
     """
     path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if key is None else fan_out(df, key)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
