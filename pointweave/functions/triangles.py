@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from pointweave.functions import vector as V
 
@@ -112,7 +113,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hit
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def triangles_intersect(*columns: pd.Series) -> pd.Series:
     """18 coordinate columns: three corners of each triangle."""
     flat = np.column_stack([c.to_numpy(dtype=float) for c in columns]).reshape(-1, 2, 3, 3)

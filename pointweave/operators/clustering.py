@@ -244,7 +244,7 @@ def block_labels(points: DataFrame, distance: float, cell: float, min_abs_cos: f
     Only touching cells are compared. With ``min_abs_cos`` the pair must also
     have parallel or opposite normals.
     """
-    located = points.withColumns({g: K.cell(F.col(c), cell) for c, g in zip(XYZ, CELL)})
+    located = points.select("point_id", *[K.cell(F.col(c), cell).alias(g) for c, g in zip(XYZ, CELL)])
     if min_abs_cos is None:
         cells, links = linked_cells(points, distance, cell)
         touching = links.join(_cell_names(cells, "a"), "a").join(_cell_names(cells, "b"), "b")

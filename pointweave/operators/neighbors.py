@@ -325,3 +325,10 @@ def ray_pick(points: DataFrame, origin, direction, radius: float = 0.05) -> Data
     hits = points.select("point_id", entry.alias("entry")).where(F.col("entry").isNotNull())
     best = hits.agg(F.min(F.struct("entry", "point_id")).alias("best"))
     return best.where(F.col("best").isNotNull()).select("best.point_id", "best.entry")
+
+
+def shifted_cells(df: DataFrame, reach: int, keep_offset: bool = False) -> DataFrame:
+    """Rows repeated at every cell within ``reach`` of their own, along each axis."""
+    for g, o in zip(CELL, ("ox", "oy", "oz")):
+        df = df.withColumn(o, F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn(g, F.col(g) + F.col(o))
+    return df if keep_offset else df.drop("ox", "oy", "oz")

@@ -29,7 +29,7 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (key * 10000 + F.col("l_suppkey")).alias("point_id"),
         F.col("l_quantity").alias("x"),
-        (F.col("l_extendedprice") / 1000.0).alias("y"),
+        (F.col("l_extendedprice") / 997.0).alias("y"),
         (F.col("l_discount") * 100.0).alias("z"),
         *[(c / size).alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))],
         F.floor(F.col("l_tax") * 1000.0).alias("r"),
