@@ -368,8 +368,12 @@ def net_vertices(field: DataFrame, size: float, iso: float = 0.0) -> DataFrame:
         crossings.append(F.when((a < iso) != (b < iso), F.struct(*[x.alias(c) for x, c in zip(place, XYZ)])))
     hit = cells.withColumn("hits", F.filter(F.array(*crossings), lambda h: h.isNotNull()))
     number = F.size("hits").cast("double")
-    mean = {c: (F.col(v) + F.aggregate("hits", F.lit(0.0), lambda acc, h, c=c: acc + h[c]) / number) * size
-            for c, v in zip(XYZ, VOXEL)}
+
+
+    def total(axis):
+        return F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + h[axis])
+
+    mean = {c: (F.col(v) + total(c) / number) * size for c, v in zip(XYZ, VOXEL)}
     return hit.select(*VOXEL, *[m.alias(c) for c, m in mean.items()])
 
 

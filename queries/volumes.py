@@ -109,22 +109,27 @@ def v13(spark, sf):
 
 MEAN = f"""mi AS (SELECT x, y, z, nx, ny, nz, UNNEST([-3,-2,-1,0,1,2,3]) AS i FROM li), mv AS (SELECT {big(f'FLOOR((x + nx*(i*{d(1.5)})) / {d(1.5)})')} AS vx, {big(f'FLOOR((y + ny*(i*{d(1.5)})) / {d(1.5)})')} AS vy,
  {big(f'FLOOR((z + nz*(i*{d(1.5)})) / {d(1.5)})')} AS vz, i*{d(1.5)} / {d(4.5)} AS s FROM (SELECT i, x, y, z, nx/l AS nx, ny/l AS ny, nz/l AS nz FROM (SELECT *, SQRT(nx*nx+ny*ny+nz*nz) AS l FROM mi))),
-mt AS (SELECT vx, vy, vz, AVG(s) AS value, COUNT(*) AS weight FROM mv GROUP BY 1, 2, 3)"""
+mt AS (SELECT vx, vy, vz, ROUND(AVG(s), 9) AS value, COUNT(*) AS weight FROM mv GROUP BY 1, 2, 3)"""
+
+
+def mean_volume(spark, sf):
+    """Rounded, so that a mean of exactly zero has no sign of its own."""
+    return W.mean_distance_volume(lineitem_points(spark, sf), 1.5).withColumn("value", F.round("value", 9))
 
 
 @query("v18_mean_distance_volume", f"WITH {LI}, {MEAN} SELECT vx, vy, vz, {r('value')} AS value, weight FROM mt")
 def v18(spark, sf):
-    return tidy(W.mean_distance_volume(lineitem_points(spark, sf), 1.5))
+    return tidy(mean_volume(spark, sf))
 
 
 @query("v19_near_zero", f"WITH {LI}, {MEAN} SELECT vx, vy, vz, weight FROM mt WHERE weight >= 3 AND ABS(value) <= {d(0.1)}")
 def v19(spark, sf):
-    return W.near_zero(W.mean_distance_volume(lineitem_points(spark, sf), 1.5), 1.5).select(*W.VOXEL, "weight")
+    return W.near_zero(mean_volume(spark, sf), 1.5).select(*W.VOXEL, "weight")
 
 
 @query("v12_extract_near", f"WITH {LI}, {MEAN} SELECT vx, vy, vz FROM mt WHERE weight >= 5 AND ABS(value) < {d(0.1)}")
 def v12(spark, sf):
-    return W.extract_near(W.mean_distance_volume(lineitem_points(spark, sf), 1.5), 1.5).select(*W.VOXEL)
+    return W.extract_near(mean_volume(spark, sf), 1.5).select(*W.VOXEL)
 
 
 CROSS = " UNION ALL ".join(
@@ -135,13 +140,13 @@ CROSS = " UNION ALL ".join(
 @query("v8_zero_crossings", f"""WITH {LI}, {MEAN}, cr AS ({CROSS}), mu AS (SELECT *, -f0/(f1-f0) AS mu FROM cr)
 SELECT vx, vy, vz, axis, weight, {r(f"(vx+{d(0.5)})*{d(1.5)} + CASE WHEN axis = 0 THEN mu*{d(1.5)} ELSE 0 END")} AS x, {r(f"(vz+{d(0.5)})*{d(1.5)} + CASE WHEN axis = 2 THEN mu*{d(1.5)} ELSE 0 END")} AS z FROM mu""")
 def v8(spark, sf):
-    vol = W.mean_distance_volume(lineitem_points(spark, sf), 1.5).withColumns({c: F.lit(0.0) for c in W.NORMAL})
+    vol = mean_volume(spark, sf).withColumns({c: F.lit(0.0) for c in W.NORMAL})
     return tidy(W.zero_crossings(vol, 1.5).select(*W.VOXEL, "axis", "weight", "x", "z"))
 
 
 @query("v8_zero_crossing_normals")
 def v8_normals(spark, sf):
-    vol = W.mean_distance_volume(lineitem_points(spark, sf), 1.5).withColumns({c: F.lit(0.0) for c in W.NORMAL})
+    vol = mean_volume(spark, sf).withColumns({c: F.lit(0.0) for c in W.NORMAL})
     return tidy(W.zero_crossings(vol, 1.5))
 
 
@@ -168,12 +173,12 @@ SELECT vx, vy, vz, {r(f'(vx + AVG(px)) * {d(1.5)}')} AS x, {r(f'(vy + AVG(py)) *
 
 @query("v9_surface_net_vertices", net_sql())
 def v9(spark, sf):
-    return tidy(W.net_vertices(W.mean_distance_volume(lineitem_points(spark, sf), 1.5), 1.5))
+    return tidy(W.net_vertices(mean_volume(spark, sf), 1.5))
 
 
 @query("n10_surface_net_triangles")
 def n10(spark, sf):
-    return W.net_triangles(W.mean_distance_volume(lineitem_points(spark, sf), 1.5), 1.5)[1]
+    return W.net_triangles(mean_volume(spark, sf), 1.5)[1]
 
 
 FIELD = f"""lo AS (SELECT MIN(x) - {d(10.0)} AS lx, MIN(y) - {d(10.0)} AS ly, MIN(z) - {d(10.0)} AS lz FROM li),
