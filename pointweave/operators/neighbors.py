@@ -63,7 +63,7 @@ def join_on_cells(queries: DataFrame, candidates: DataFrame, candidate_id: str,
     dealt = candidates.join(hot, CELL, "left").withColumn("part", part.cast("long")).drop("splits")
     copied = (
         queries.join(hot, CELL, "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).cast("long"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1).cast("long")) - 1)))
         .drop("splits")
     )
     return copied.join(dealt.hint("shuffle_hash"), [*CELL, "part"]).drop("part")
