@@ -8,6 +8,7 @@ from pointweave.functions import keys as K, vector as V
 from pointweave.functions.eigen import Sym3, covariance_aggregates, with_eigenvalues, with_smallest_vector
 from pointweave.operators.neighbors import CELL
 from pointweave.operators.sites import XYZ
+from pointweave.session import cut
 
 
 def bounds_aggregates(x="x", y="y", z="z"):
@@ -95,7 +96,8 @@ def cell_statistics(points: DataFrame, size: float) -> DataFrame:
         *[F.avg(c).alias(f"mean_{c}") for c in ("nx", "ny", "nz")],
     )
     m = Sym3.named("c_")
-    return with_smallest_vector(with_eigenvalues(stats, m), m, out="plane_")
+    # Written out, so that filters on the result do not copy the eigen formula.
+    return cut(with_smallest_vector(with_eigenvalues(stats, m), m, out="plane_"))
 
 
 def label_counts(points: DataFrame, label: str = "label", fill_gaps: bool = True) -> DataFrame:
