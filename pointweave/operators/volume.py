@@ -228,7 +228,7 @@ def within_region(volume: DataFrame, size: float, low, high, block: int = 8) ->
     return volume.where(test & inside)
 
 
-def _along_axes(volume: DataFrame, fields: list[str]) -> DataFrame:
+def _along_axes(volume: DataFrame, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Each voxel next to its +x, +y and +z neighbour: columns a_*, b_*, axis.
 
     Every voxel is sent to itself and to its three lower neighbours, and the
@@ -244,8 +244,8 @@ def _along_axes(volume: DataFrame, fields: list[str]) -> DataFrame:
                 F.lit(axis).alias("axis"), *place,
                 (body if role == "a" else empty).alias("a"), (body if role == "b" else empty).alias("b"),
             ))
-    rows = volume.select(F.explode(F.array(*sent)).alias("s")).select("s.*")
-    met = rows.groupBy("axis", *VOXEL).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    rows = volume.select(*by, F.explode(F.array(*sent)).alias("s")).select(*by, "s.*")
+    met = rows.groupBy(*by, "axis", *VOXEL).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
     return met.where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
@@ -294,12 +294,8 @@ def zero_crossings(volume: DataFrame, size: float) -> DataFrame:
 
 def directional_crossings(state: DataFrame, size: float) -> DataFrame:
     """Sign changes along each axis, per direction of a directional volume."""
-    tagged = state.where(F.col("weight") > 0)
-    out = None
-    for d in range(len(DIRECTIONS)):  # six fixed directions, one plan
-        part = _along_axes(tagged.where(F.col("dir") == d), ["value", "weight"])
-        part = part.where(F.col("a.value") * F.col("b.value") < 0).withColumn("dir", F.lit(d))
-        out = part if out is None else out.unionByName(part)
+    out = _along_axes(state.where(F.col("weight") > 0), ["value", "weight"], by=("dir",))
+    out = out.where(F.col("a.value") * F.col("b.value") < 0)
     mu = F.col("a.value") / (F.col("a.value") - F.col("b.value"))
     return out.select("dir", "axis", *VOXEL, *[
         (K.centre(F.col(v), size) + F.when(F.col("axis") == i, mu * size).otherwise(F.lit(0.0))).alias(c)
