@@ -11,7 +11,7 @@ from pointweave.session import cut
 CHUNK = 1_000_000  # edges contracted at a time inside a task; bounds its memory
 
 
-def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star forest (node, smallest member) with the same connectivity as the edges."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = flat[: len(a)], flat[len(a):]
@@ -35,7 +35,7 @@ def _contract_batches(batches):
 
     def flush():
         table = pa.Table.from_batches(held)
-        node, root = _contract(table["a"].to_numpy(), table["b"].to_numpy())
+        node, root = contract(table["a"].to_numpy(), table["b"].to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
 
     for batch in batches:
