@@ -5,7 +5,7 @@ positions with the merge table, contracts the leftmost pair of minimum rank of e
 until no word has a pair left. Decoding joins ids with the vocabulary and puts the bytes together by an
 ordered aggregation. No step shuffles: every text is encoded where it was read.
 
-Memory of a task: one slice of texts, ``REMEMBERED`` encoded words and ``AT_A_TIME`` words of token rows.
+Memory of a task: one slice of texts, two generations of ``REMEMBERED`` encoded words and ``AT_A_TIME`` words of token rows.
 """
 
 from __future__ import annotations
@@ -23,32 +23,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import schema_with, sliced, texts_of, with_columns
 
-REMEMBERED = 400_000  # words whose ids a Python worker keeps between slices and tasks
-AT_A_TIME = 20_000  # words in one recursive query
+REMEMBERED = 120_000  # entries of one generation; a Python worker keeps two of them between slices and tasks
+AT_A_TIME = 10_000  # words in one recursive query
+TEXT_BYTES = 2 << 20  # text encoded at a time
 LONG = 256  # bytes; a longer single word is merged through a heap, as recursion depth is its number of merges
-DECODED_AT_A_TIME = 1_000_000  # ids in one decoding query; one longer text makes a query of its own
+DECODED_AT_A_TIME = 200_000  # ids in one decoding query; one longer text makes a query of its own
 
 # White space as the pattern's \s means it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 # No match of the pattern runs from other characters into white space, so these parts encode independently.
 _PARTS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
+# A candidate is made << 40 | pos << 8 | size, so the minimum is the leftmost pair of least rank.
 _CONTRACT = """
 WITH RECURSIVE state(pos, word, tok, size, step) AS (
-  SELECT pos, word, tok, 1, 0 FROM start
+  SELECT pos, word, tok::BIGINT, 1::BIGINT, 0 FROM start
   UNION ALL
   SELECT s.pos, s.word, CASE WHEN s.pos = b.pos THEN b.made ELSE s.tok END,
          CASE WHEN s.pos = b.pos THEN b.size ELSE s.size END, s.step + 1
   FROM state s JOIN (
-    SELECT l.word, min(p.made::BIGINT << 32 | l.pos) AS best, best & 4294967295 AS pos, (best >> 32)::INT AS made,
-           arg_min(r.pos, p.made::BIGINT << 32 | l.pos) AS gone,
-           arg_min(l.size + r.size, p.made::BIGINT << 32 | l.pos) AS size
-    FROM state l JOIN state r ON r.pos = l.pos + l.size
-    JOIN pairs p ON p.pair = l.tok::BIGINT << 32 | r.tok
-    GROUP BY l.word) b ON s.word = b.word
-  WHERE s.pos <> b.gone
+    SELECT word, best >> 40 AS made, (best >> 8) & 4294967295 AS pos, best & 255 AS size FROM (
+      SELECT l.word, min(p.made | (l.pos << 8)) AS best
+      FROM state l JOIN state r ON r.pos = l.pos + l.size JOIN pairs p ON p.pair = ((l.tok << 32) | r.tok)
+      GROUP BY l.word)) b ON s.word = b.word
+  WHERE s.pos <= b.pos OR s.pos >= b.pos + b.size
 )
-SELECT word, tok FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last ORDER BY pos
+SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) last
+  ON s.word = last.word AND s.step = last.step ORDER BY s.pos
 """
 
 _DECODE = """
@@ -63,6 +64,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Memory:
+    """Entries of the last slices: when a generation is full it becomes the old one, and the one before is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def known(self, keys: set[str]) -> dict[str, bytes]:
+        found = {k: self.young[k] for k in keys & self.young.keys()}
+        found.update((k, self.old[k]) for k in (keys - found.keys()) & self.old.keys())
+        return found
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        if len(self.young) + len(entries) > self.size:
+            self.young, self.old = {}, self.young
+        if len(entries) <= self.size:
+            self.young.update(entries)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with an embedded database of its tables."""
 
@@ -70,16 +89,16 @@ class Codec:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         left, right, made = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), made.append(rank)
+                    left.append(a), right.append(b), made.append(rank << 40 | len(token))
         pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
-        self._load("pairs", pair=pair, made=np.array(made, np.int32))
+        self._load("pairs", pair=pair, made=np.array(made, np.int64))
         # One character for each byte, because aggregates put strings together, not blobs.
         self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int64),
                    piece=[token.decode("latin-1") for token in self.ranks])
@@ -132,35 +151,38 @@ class Codec:
             i = end[i]
         return np.array(out, "<u4").tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        """Encode parts that are not remembered."""
-        split = {part: self.pattern.findall(part) for part in parts}
-        ids: dict[str, bytes] = {}
-        open_: list[tuple[str, bytes]] = []
-        for match in set().union(*split.values()):
-            raw = match.encode()
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words."""
+        ids, open_ = self.words.known(words), []
+        for word in words - ids.keys():
+            raw = word.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                ids[match] = whole.to_bytes(4, "little")
+                ids[word] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
-                ids[match] = self._long(raw)
+                ids[word] = self._long(raw)
             else:
-                open_.append((match, raw))
+                open_.append((word, raw))
         for at in range(0, len(open_), AT_A_TIME):
             block = open_[at:at + AT_A_TIME]
-            ids.update(zip([m for m, _ in block], self._contract([raw for _, raw in block])))
-        self.known.update((part, b"".join([ids[m] for m in found])) for part, found in split.items())
+            ids.update(zip([w for w, _ in block], self._contract([raw for _, raw in block])))
+        self.words.add(ids)
+        return ids
+
+    def _split(self, part: str) -> list[str]:
+        letters = part[1:] if part[0] == " " else part
+        return [part] if letters.isalpha() else self.pattern.findall(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_PARTS.findall(t) for t in texts]
         needed = set().union(*cut)
-        if missing := needed - self.known.keys():
-            self._learn(missing)
-        out = [b"".join([self.known[p] for p in parts]) for parts in cut]
-        if len(self.known) > REMEMBERED:
-            self.known = {p: self.known[p] for p in needed} if len(needed) < REMEMBERED else {}
-        return out
+        packed = self.parts.known(needed)
+        split = {part: self._split(part) for part in needed - packed.keys()}
+        ids = self._ids_of(set().union(*split.values()))
+        packed.update((part, b"".join([ids[w] for w in words])) for part, words in split.items())
+        self.parts.add(packed)
+        return [b"".join([packed[p] for p in parts]) for parts in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -201,7 +223,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     schema = schema_with(df, ids="binary", n_tokens="bigint")
 
     def run(batches):
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, TEXT_BYTES):
             ids = codec(path, pattern).encode(texts_of(batch, text))
             yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()))
 
@@ -216,7 +238,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     schema = schema_with(df, decoded="binary")
 
     def run(batches):
-        for batch in sliced(batches, ids):
+        for batch in sliced(batches, ids, TEXT_BYTES):
             packed = [p or b"" for p in batch[ids].to_pylist()]
             yield with_columns(batch, decoded=pa.array(codec(path, pattern).decode(packed), pa.binary()))
 
