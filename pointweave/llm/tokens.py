@@ -61,10 +61,10 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     more right counts, since an append is committed as a whole; two runs that append the same digest agree,
     and duplicates are folded on reading. Null and empty texts count zero; repeated rows stay; a text of any
     length is encoded whole; an empty table gives an empty one. Columns of the input pass through, whatever
-    they are called but for ``n_bytes`` and ``n_tokens``, which are refused.
+    they are called but for ``n_bytes``, ``n_tokens``, ``content`` and ``tokenizer``, which are refused.
     """
     spark = df.sparkSession
-    if clash := {"n_bytes", "n_tokens", "__content"} & {c.lower() for c in df.columns}:
+    if clash := {"n_bytes", "n_tokens", "content", "tokenizer", "__content"} & {c.lower() for c in df.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     version = tokenizer_version(path)
     keyed = df.withColumn("__content", F.sha2(normalised(F.col(f"`{text}`")), 256))
@@ -73,6 +73,8 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     misses = contents.join(held.select("content"), "content", "left_anti")
     counted = misses.mapInArrow(_encode_counts(path), "content string, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = stored_counts(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Folded by both columns, so that the join deals the counts out itself and may split a digest with many rows.
+    counts = stored_counts(spark, cache).where(F.col("tokenizer") == version).groupBy("content", "tokenizer").agg(
+        F.max("n_tokens").alias("n_tokens"))
     return (keyed.withColumn("n_bytes", F.octet_length(normalised(F.col(f"`{text}`"))).cast("long"))
-            .join(counts, F.col("__content") == F.col("content"), "left").drop("__content", "content"))
+            .join(counts, F.col("__content") == F.col("content"), "left").drop("__content", "content", "tokenizer"))
