@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, tokens
-from pointweave.llm.common import table
+from pointweave.llm import bpe, chat, language, quality, rules, simhash, tokens
+from pointweave.llm.common import held_out, table
 from pointweave.session import scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,12 +21,102 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.ledger(table(spark, sf_dir, "documents"))
+    base_failed = ~rules.passes(rules.BASE)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"), (~base_failed & rules.passes(rules.STRICT)).alias("kept"),
+        "n_lines", "n_capitals", "failed")
+
+
+SQL["op3_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM again, range(3) AS o(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(COALESCE(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(COALESCE(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(regexp_extract_all(t, '\p{Lu}')) AS BIGINT) AS n_capitals
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, CAST((n_words < 50) AS BIGINT) + 2 * CAST((100 * n_repeat_words > 50 * n_words) AS BIGINT)
+        + 4 * CAST((100 * n_symbols > 20 * n_words) AS BIGINT) + 8 * CAST((100 * n_dup_lines > 30 * n_lines) AS BIGINT)
+        + 16 * CAST((word_chars < 2 * n_words OR word_chars > 20 * n_words) AS BIGINT)
+        + 32 * CAST((100 * n_capitals > 40 * word_chars) AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
+       failed = 0 AS kept, n_lines, n_capitals, failed FROM f"""
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.where(~out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+PROBE = "\\### Assistant: </turn> ok"  # a text made of the template's own control strings
+
+
+@query
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], turns.schema)
+    return chat.digests(chat.windows(turns.unionByName(probe)))
+
+
+SQL["op8_chat_windows"] = r"""
+WITH t0 AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+  CAST(CEIL(length(text) / 4.0) AS BIGINT) + 4 AS tokens,
+  4 + length(role) + 2 + length(text) + 8 + (SELECT COUNT(*) FROM (SELECT unnest(string_split(text, '')) AS c) WHERE c IN ('\', '#', '<')) AS chars FROM t0),
+t2 AS (SELECT *, place = 1 AND role = 'system' AS sys FROM t1),
+t3 AS (SELECT *, COALESCE(SUM(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  768 - MAX(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS room0 FROM t2),
+t4 AS (SELECT *, GREATEST(2, room0) AS room, GREATEST(2, room0) // 2 AS half FROM t3),
+t5 AS (SELECT *, NOT sys AND tokens > room - half AS lng, start // half AS cell FROM t4),
+t6 AS (SELECT *, LAG(place) OVER p AS l_place, LAG(sys) OVER p AS l_sys, LAG(lng) OVER p AS l_lng, LAG(cell) OVER p AS l_cell
+  FROM t5 WINDOW p AS (PARTITION BY conv_id ORDER BY place)),
+t7 AS (SELECT *, NOT sys AND (l_place IS NULL OR l_sys OR lng OR l_lng OR l_cell <> cell) AS opens FROM t6),
+t8 AS (SELECT *, CASE WHEN sys THEN 0 ELSE COUNT(*) FILTER (WHERE opens) OVER (PARTITION BY conv_id ORDER BY start RANGE BETWEEN 1 FOLLOWING AND 256 FOLLOWING) END AS later,
+  COUNT(*) FILTER (WHERE opens) OVER (PARTITION BY conv_id) AS n_windows FROM t7)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(CASE WHEN sys THEN chars * GREATEST(1, n_windows) ELSE chars * (1 + later) END) AS BIGINT) AS formatted_chars
+FROM t8 GROUP BY conv_id"""
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that its work follows its input."""
