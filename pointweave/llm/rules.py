@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointweave.llm.common import SPACE
+from pointweave.session import cut
 
 _BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -88,12 +89,16 @@ def measure(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def ledger(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The measurements of every row and ``failed``, a long with the bit of each rule that it fails."""
+    """The measurements of every row and ``failed``, a long with the bit of each rule that it fails.
+
+    The ledger is written once to the shared folder. What is asked of it later, filters too, then reads the table
+    and is not pushed down into the measuring of texts.
+    """
     bits = [F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, condition) in enumerate(RULES)]
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return measure(df, text, key).withColumn("failed", failed.cast("long"))
+    return cut(measure(df, text, key).withColumn("failed", failed.cast("long")))
 
 
 def passes(policy: Policy, failed: str = "failed") -> Column:

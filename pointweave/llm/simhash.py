@@ -77,7 +77,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 def _quarters(fixed: int) -> list[int]:
     """Masks that add each quarter of the open bits to the fixed ones."""
     open_bits = [b for b in range(64) if not fixed >> b & 1]
-    return [fixed | sum(1 << b for b in part) for part in np.array_split(open_bits, NEAR + 1)]
+    return [fixed | sum(1 << int(b) for b in part) for part in np.array_split(open_bits, NEAR + 1)]
 
 
 def _links(slot: np.ndarray, run: np.ndarray, fp: np.ndarray):
