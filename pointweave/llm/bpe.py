@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import schema_with, sliced, texts_of, with_columns
 
-REMEMBERED = 120_000  # entries of one generation; a Python worker keeps two of them between slices and tasks
-AT_A_TIME = 10_000  # words in one recursive query
-TEXT_BYTES = 2 << 20  # text encoded at a time
+REMEMBERED = 300_000  # entries of one generation; a Python worker keeps two of them between slices and tasks
+AT_A_TIME = 20_000  # words in one recursive query
+TEXT_BYTES = 4 << 20  # text encoded at a time
 LONG = 256  # bytes; a longer single word is merged through a heap, as recursion depth is its number of merges
 DECODED_AT_A_TIME = 200_000  # ids in one decoding query; one longer text makes a query of its own
 
