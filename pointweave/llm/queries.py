@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, chat, language, quality, rules, simhash, tiling, tokens
+from pointweave.llm import bpe, chat, language, quality, rules, simhash, suffixes, tiling, tokens
 from pointweave.llm.common import held_out, table
 from pointweave.session import scratch_root
 
@@ -129,3 +129,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
