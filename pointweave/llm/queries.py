@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, chat, language, quality, rules, simhash, suffixes, tiling, tokens
+from pointweave.llm import bpe, chat, language, pii, quality, rules, simhash, suffixes, tiling, tokens
 from pointweave.llm.common import held_out, table
 from pointweave.session import scratch_root
 
@@ -69,6 +69,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failed = 0 AS kept, n_lines, n_capitals, failed FROM f"""
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
