@@ -2,7 +2,7 @@
 
 A matrix that is the same for every row is a NumPy array on the driver and ends
 up as literals inside the expressions. A matrix stored per row is a
-column-major ``ARRAY<DOUBLE>`` column and is unrolled by element.
+column-major ``ARRAY<DOUBLE>`` column and is unrolled by entry.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import Column, functions as F
 from pointweave.functions.vector import Vec
 
 
-def elements(m, size: int = 4) -> list[list]:
-    """Rows of ``m`` as nested lists of literals or element expressions."""
+def entries(m, size: int = 4) -> list[list]:
+    """Rows of ``m`` as nested lists of literals or entry expressions."""
     if isinstance(m, (Column, str)):
         col = F.col(m) if isinstance(m, str) else m
         return [[col[c * size + r] for c in range(size)] for r in range(size)]
@@ -30,12 +30,12 @@ def pack(rows) -> Column:
 
 
 def transform_point(m, p: Vec) -> Vec:
-    e = elements(m)
+    e = entries(m)
     return tuple(e[r][0] * p[0] + e[r][1] * p[1] + e[r][2] * p[2] + e[r][3] for r in range(3))
 
 
 def transform_direction(m, d: Vec) -> Vec:
-    e = elements(m)
+    e = entries(m)
     return tuple(e[r][0] * d[0] + e[r][1] * d[1] + e[r][2] * d[2] for r in range(3))
 
 
@@ -48,7 +48,7 @@ def transform_normal(m: np.ndarray, n: Vec) -> Vec:
 
 def project_point(m, p: Vec) -> Vec:
     """Transform and divide by w; w = 0 gives NULL."""
-    e = elements(m)
+    e = entries(m)
     w = e[3][0] * p[0] + e[3][1] * p[1] + e[3][2] * p[2] + e[3][3]
     safe = F.when(w != 0, w)
     return tuple(v / safe for v in transform_point(e, p))
@@ -103,7 +103,7 @@ def det(a):
 
 
 def inverse(a) -> list[list]:
-    """Adjugate over determinant; a singular matrix gives NULL elements."""
+    """Adjugate over determinant; a singular matrix gives NULL entries."""
     n = len(a)
     d = det(a)
     safe = F.when(d != 0, d)

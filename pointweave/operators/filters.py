@@ -72,24 +72,33 @@ def drop_outliers(points: DataFrame, mask: DataFrame) -> DataFrame:
     return points.join(mask.where(F.col("is_outlier")).select("point_id"), "point_id", "left_anti")
 
 
-def frustum_planes(position, forward, near: float, far: float, half_h: float = 0.523, half_v: float = 0.393):
-    """Six inward (normal, offset) planes of a view frustum."""
-    f = np.asarray(forward, float) / np.linalg.norm(forward)
-    guide = np.array([0.0, 0.0, 1.0]) if abs(f[1]) > 0.99 else np.array([0.0, 1.0, 0.0])
-    right = np.cross(f, guide)
-    right /= np.linalg.norm(right)
-    up = np.cross(right, f)
-    up /= np.linalg.norm(up)
-    p = np.asarray(position, float)
-    planes = [(f, -(f @ p) - near), (-f, f @ p + far)]
-    for axis, half in ((right, half_h), (up, half_v)):
-        for sign in (-1.0, 1.0):
-            n = np.sin(half) * f + sign * np.cos(half) * axis
-            planes.append((n, -(n @ p)))
-    return planes
-
-
-def frustum_blocks(blocks: DataFrame, size: float, position, forward, near, far, half_h=0.523, half_v=0.393) -> DataFrame:
+# Half opening angles of the view, across and up, in radians.
+HALF_ACROSS, HALF_UP = 0.523, 0.393
+
+
+def frustum_planes(position, forward, near: float, far: float, half_h: float = HALF_ACROSS, half_v: float = HALF_UP):
+    """Six inward (normal, offset) planes of a view frustum.
+
+    The four corner rays of the view span its sides: each side is the plane through the eye and two neighbouring
+    rays, turned so that the viewing direction lies inside.
+    """
+    eye, axis = np.asarray(position, float), np.asarray(forward, float)
+    axis = axis / np.sqrt(axis @ axis)
+    # The view is level: its sideways direction is horizontal, or along x when it looks straight up or down.
+    level = np.array([-axis[2], 0.0, axis[0]])
+    across = level / np.sqrt(level @ level) if level @ level > 0.02 else np.array([1.0, 0.0, 0.0])
+    across = across - (across @ axis) * axis
+    across /= np.sqrt(across @ across)
+    rise = np.cross(across, axis)
+    wide, high = np.tan(half_h) * across, np.tan(half_v) * rise
+    rays = [axis + sx * wide + sy * high for sx, sy in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+    sides = [np.cross(rays[k], rays[(k + 1) % 4]) for k in range(4)]
+    inward = [n / np.sqrt(n @ n) * np.sign(n @ axis) for n in sides]
+    through = [(axis, eye + near * axis), (-axis, eye + far * axis), *((n, eye) for n in inward)]
+    return [(n, -float(n @ p)) for n, p in through]
+
+
+def frustum_blocks(blocks: DataFrame, size: float, position, forward, near, far, half_h=HALF_ACROSS, half_v=HALF_UP) -> DataFrame:
     """Blocks (gx, gy, gz) not fully behind any frustum plane."""
     test = F.lit(True)
     for n, offset in frustum_planes(position, forward, near, far, half_h, half_v):

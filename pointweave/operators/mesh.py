@@ -63,8 +63,25 @@ def boundary_half_edges(faces: DataFrame) -> DataFrame:
     """Directed edges used by one face only, in that face's direction."""
     e = half_edges(faces)
     both = e.groupBy("mesh_id", F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_h")).agg(
-        F.count("*").alias("valence"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("face_id").alias("face_id"))
-    return both.where("valence = 1").select("mesh_id", "face_id", "a", "b")
+        F.count("*").alias("valence"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("face_id").alias("face_id"),
+        F.first("side").alias("side"))
+    return both.where("valence = 1").select("mesh_id", "face_id", "side", "a", "b")
+
+
+def corner_fans(faces: DataFrame) -> DataFrame:
+    """(mesh_id, vertex_id, corner, fan): corners 3 * face + slot, joined around their vertex over shared edges."""
+    corner = lambda slot: F.col("face_id") * 3 + slot
+    own = F.array(*[F.struct(F.col(f"v{i}").alias("vertex_id"), corner(i).alias("corner")) for i in range(3)])
+    nodes = faces.select("mesh_id", F.explode(own).alias("c")).select("mesh_id", "c.*")
+    ends = F.array(F.struct(F.col("a").alias("at"), corner(F.col("side")).alias("corner")),
+                   F.struct(F.col("b").alias("at"), corner((F.col("side") + 1) % 3).alias("corner")))
+    met = half_edges(faces).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.explode(ends).alias("e")).select(
+        "low", "high", "e.*")
+    first = met.groupBy("low", "high", "at").agg(F.min("corner").alias("first"), F.count("*").alias("n")).where("n > 1")
+    links = met.join(first, ["low", "high", "at"]).where(F.col("corner") != F.col("first"))
+    roots = C.component_roots(links.select(F.col("corner").alias("a"), F.col("first").alias("b")))
+    return nodes.join(roots, F.col("corner") == F.col("node"), "left").select(
+        "mesh_id", "vertex_id", "corner", F.coalesce("root", "corner").alias("fan"))
 
 
 def face_components(faces: DataFrame, seams: DataFrame | None = None) -> DataFrame:
@@ -84,34 +101,44 @@ def face_components(faces: DataFrame, seams: DataFrame | None = None) -> DataFra
 
 
 def boundary_loops(faces: DataFrame) -> DataFrame:
-    """(mesh_id, loop, a, b): boundary half-edges grouped into connected rims; loop is the smallest vertex."""
-    rim = cut(boundary_half_edges(faces))
-    ends = rim.select(F.col("a").alias("node")).union(rim.select("b")).distinct()
-    roots = C.components(ends, rim.select("a", "b"))
-    return rim.join(roots.select(F.col("node").alias("a"), F.col("root").alias("loop")), "a").select(
-        "mesh_id", "loop", "a", "b")
+    """(mesh_id, loop, edge, next, a, b): every boundary half-edge with its successor; loop is the smallest edge.
+
+    Half-edges are 3 * face + side. The successor of an edge leaves its end vertex out of the same fan of faces.
+    Only where several rims meet in a vertex do the fans have to be found; elsewhere the vertex says enough.
+    """
+    rim = cut(boundary_half_edges(faces).withColumn("edge", F.col("face_id") * 3 + F.col("side")))
+    meeting = cut(rim.groupBy("a").count().where("count > 1").select("a"))
+    slots = faces.select("mesh_id", "face_id", "v0", "v1", "v2", F.explode(F.array("v0", "v1", "v2")).alias("a"))
+    near = slots.join(meeting, "a", "left_semi").select("mesh_id", "face_id", "v0", "v1", "v2").distinct()
+    fans = cut(corner_fans(near).join(meeting.withColumnRenamed("a", "vertex_id"), "vertex_id", "left_semi").select("corner", "fan"))
+    end = F.col("face_id") * 3 + (F.col("side") + 1) % 3
+    named = rim.join(fans.select(F.col("corner").alias("edge"), F.col("fan").alias("leaves")), "edge", "left").withColumn("tip", end).join(
+        fans.select(F.col("corner").alias("tip"), F.col("fan").alias("enters")), "tip", "left").fillna(-1, ["leaves", "enters"])
+    follow = named.select(F.col("a").alias("b"), F.col("leaves").alias("enters"), F.col("edge").alias("next"))
+    chain = cut(named.join(follow, ["b", "enters"], "left").select("mesh_id", "edge", "next", "a", "b"))
+    roots = C.components(chain.select(F.col("edge").alias("node")), chain.where("next is not null").select(
+        F.col("edge").alias("a"), F.col("next").alias("b")))
+    return chain.join(roots.select(F.col("node").alias("edge"), F.col("root").alias("loop")), "edge").select(
+        "mesh_id", "loop", "edge", "next", "a", "b")
 
 
 def loop_order(loops: DataFrame) -> DataFrame:
-    """(loop, vertex_id, position) along every simple loop, starting at its smallest vertex.
+    """(loop, vertex_id, position) along every loop, starting where its smallest half-edge starts.
 
-    List ranking by doubling: each round every vertex learns how far its
+    List ranking by doubling: each round every edge learns how far its
     pointer reaches and jumps twice as far, so a loop of length n needs log2 n
-    joins, wherever its vertices live.
+    joins, wherever its edges live. An open chain, as faces that disagree in
+    direction leave them, is ranked from its own first edge.
     """
-    start = loops.where(F.col("a") == F.col("loop")).select("loop")
-    simple = loops.groupBy("loop").agg(F.count("*").alias("n"), F.count_distinct("a").alias("m")).where("n = m")
-    chain = loops.join(simple.select("loop"), "loop", "left_semi").join(start.distinct(), "loop", "left_semi")
-    # Distance to the loop start going forward; the edge into the start ends the list.
-    state = cut(chain.select("loop", F.col("a").alias("vertex_id"),
-                             F.when(F.col("b") != F.col("loop"), F.col("b")).alias("next"), F.lit(1).cast("long").alias("d")))
+    onward = F.when(F.col("next") != F.col("loop"), F.col("next"))  # the edge into the start ends the list
+    state = cut(loops.select("loop", "edge", F.col("a").alias("vertex_id"), onward.alias("next"), F.lit(1).cast("long").alias("d")))
     while not state.where("next is not null").isEmpty():
-        ahead = state.select(F.col("vertex_id").alias("next"), F.col("next").alias("far"), F.col("d").alias("more"))
+        ahead = state.select(F.col("edge").alias("next"), F.col("next").alias("far"), F.col("d").alias("more"))
         joined = state.join(ahead, "next", "left")
-        state = cut(joined.select("loop", "vertex_id", F.col("far").alias("next"),
+        state = cut(joined.select("loop", "edge", "vertex_id", F.col("far").alias("next"),
                                   (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
-    size = state.groupBy("loop").agg(F.count("*").alias("n"))
-    return state.join(size, "loop").select("loop", "vertex_id", (F.col("n") - F.col("d")).alias("position"))
+    longest = state.groupBy("loop").agg(F.max("d").alias("n"))
+    return state.join(longest, "loop").select("loop", "vertex_id", (F.col("n") - F.col("d")).alias("position"))
 
 
 def loop_perimeters(loops: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -173,17 +200,8 @@ def validate(placed: DataFrame, short: float = 1e-6) -> DataFrame:
 
 
 def fan_counts(faces: DataFrame) -> DataFrame:
-    """(mesh_id, vertex_id, fans): face fans around each vertex.
-
-    For manifold edges: fans = faces minus interior edges at the vertex, or 1 for a closed fan.
-    """
-    at = F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")
-    per_face = faces.select("mesh_id", at).groupBy("mesh_id", "vertex_id").agg(F.count("*").alias("f"))
-    edges = edge_valence(faces).where("valence > 1")
-    inner = edges.select("mesh_id", F.explode(F.array("a", "b")).alias("vertex_id")).groupBy("mesh_id", "vertex_id").agg(
-        F.count("*").alias("e"))
-    return per_face.join(inner, ["mesh_id", "vertex_id"], "left").select(
-        "mesh_id", "vertex_id", F.greatest(F.lit(1), F.col("f") - F.coalesce("e", F.lit(0))).alias("fans"))
+    """(mesh_id, vertex_id, fans): fans of faces joined over edges around each vertex, open or closed."""
+    return corner_fans(faces).groupBy("mesh_id", "vertex_id").agg(F.count_distinct("fan").alias("fans"))
 
 
 def diagnostics(vertices: DataFrame, faces: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ from pointweave.session import cut
 XYZ = ["x", "y", "z"]
 
 
+def without_position(points: DataFrame, **values) -> DataFrame:
+    """The rows left out of ``Sites``, with the values that a point without neighbours has."""
+    valid = F.coalesce(is_valid(*[F.col(c) for c in XYZ]), F.lit(False))
+    return points.where(~valid).select("point_id", *[v.alias(k) for k, v in values.items()])
+
+
 class Sites:
     """``table`` has columns site (smallest point_id), x, y, z, n (copies)."""
 

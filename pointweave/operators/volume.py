@@ -381,11 +381,15 @@ def net_triangles(field: DataFrame, size: float, iso: float = 0.0) -> tuple[Data
     vertices = net_vertices(field, size, iso)
     inside_a, inside_b = F.col("a.value") < iso, F.col("b.value") < iso
     edges = _along_axes(field, ["value"]).where(inside_a != inside_b).withColumn("inside", inside_a)
-    # Cells around an edge, counter-clockwise seen from its far end.
-    ring = {0: [(0, -1, -1), (0, 0, -1), (0, 0, 0), (0, -1, 0)],
-            1: [(-1, 0, -1), (-1, 0, 0), (0, 0, 0), (0, 0, -1)],
-            2: [(-1, -1, 0), (0, -1, 0), (0, 0, 0), (-1, 0, 0)]}
-    slots = F.when(F.col("axis") == 0, _ring(ring[0])).when(F.col("axis") == 1, _ring(ring[1])).otherwise(_ring(ring[2]))
+    # The cells around an edge differ from its node by 0 or -1 along the two other axes, taken in cyclic order.
+    # Going round as (0,0), (-1,0), (-1,-1), (0,-1) turns positively about the edge.
+    around = ((0, 0), (-1, 0), (-1, -1), (0, -1))
+
+    def ring(axis: int) -> Column:
+        first, second = (axis + 1) % 3, (axis + 2) % 3
+        return _ring([[u if k == first else v if k == second else 0 for k in range(3)] for u, v in around])
+
+    slots = F.when(F.col("axis") == 0, ring(0)).when(F.col("axis") == 1, ring(1)).otherwise(ring(2))
     quads = edges.select("axis", F.struct(*VOXEL).alias("edge"), "inside", F.explode(slots).alias("q")).select(
         "axis", "edge", "inside", "q.slot", "q.vx", "q.vy", "q.vz")
     held = quads.join(vertices.select(*VOXEL), VOXEL, "left_semi")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pointweave.operators import aggregates as A, clustering as C, neighbors as N, outliers as O
+from pointweave.sources import ply
 
 
 class Catalog:
@@ -121,7 +123,7 @@ OPERATORS: dict[str, tuple[type[Parameters], Callable[[DataFrame, Parameters], D
     "PerformROR": (ROR, lambda c, p: O.radius(c, p.Radius, p.MinNeighborsInRadius)),
     "PerformPFOR": (PFOR, lambda c, p: O.plane_fit(c, p.KNeighbors, p.DistanceThreshold)),
     "PerformCurvatureAnalysis": (Curvature, lambda c, p: O.curvature(c, p.KNeighbors, p.CurvatureThreshold)),
-    "PerformNormalDeviation": (Deviation, lambda c, p: O.normal_deviation(c, p.Radius, p.DeviationThreshold)),
+    "PerformNormalDeviationAnalysis": (Deviation, lambda c, p: O.normal_deviation(c, p.Radius, p.DeviationThreshold)),
     "PerformClustering": (Clustering, lambda c, p: C.planar_clusters(c, p.SearchRadius, p.AngleThreshold)),
     "PerformKDE": (KDE, lambda c, p: N.kernel_density(c, p.SearchRadius, p.Bandwidth)),
     "ApplyPointPlaneFitting": (PointFit, lambda c, p: O.fit_at(c, p.PointIndex, p.KNeighbors, p.DistanceThreshold)),
@@ -131,9 +133,8 @@ OPERATORS: dict[str, tuple[type[Parameters], Callable[[DataFrame, Parameters], D
 STEPS = {
     "SOR Filter": ("PerformSOR", {}),
     "ROR Filter": ("PerformROR", {}),
-    "PFOR Filter": ("PerformPFOR", {}),
-    "Curvature Filter": ("PerformCurvatureAnalysis", {}),
-    "Normal Deviation Filter": ("PerformNormalDeviation", {}),
+    "Curvature Analysis": ("PerformCurvatureAnalysis", {"CurvatureThreshold": 0.1}),
+    "Normal Deviation Analysis": ("PerformNormalDeviationAnalysis", {"DeviationThreshold": 30.0}),
 }
 
 
@@ -162,8 +163,8 @@ def composite_mask(cloud: DataFrame, steps: list[dict]) -> DataFrame:
     return cloud.select("point_id", F.lit(False).alias("is_outlier")) if mask is None else mask
 
 
-def run_command(catalog: Catalog, document: str) -> DataFrame | int | None:
-    """Execute one JSON command. ``DeletePoints`` replaces the cloud by its inliers."""
+def run_command(catalog: Catalog, document: str) -> DataFrame | int | list[int] | None:
+    """Execute one JSON command. ``DeletePoints`` replaces the cloud by its inliers, whatever the operator."""
     given = json.loads(document)
     name, number = given["Command"], given.get("PointCloudID")
     if name == "PerformCompositeFilter":
@@ -175,7 +176,10 @@ def run_command(catalog: Catalog, document: str) -> DataFrame | int | None:
     elif name == "DeletePointCloud":
         return catalog.delete(number)
     elif name == "RenamePointCloud":
-        return catalog.rename(number, given["Name"])
+        return catalog.rename(number, given["NewName"])
+    elif name == "LoadPointCloudFromPLY":
+        spark = SparkSession.active()
+        return [catalog.add(ply.read_points(spark, path), os.path.basename(path)) for path in given["FileNames"]]
     elif name == "SelectPointCloud":
         return catalog.select(number)
     else:

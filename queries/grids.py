@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -403,11 +405,11 @@ def j18(spark, sf):
     return tidy(A.depth_lookup(p, A.depth_raster(p.where("cloud_id = 2"), 1.5), 1.5).select("point_id", "depth"))
 
 
-@query("v16_occupancy_map", f"""WITH {LI}, p AS (SELECT DISTINCT {cell('x', 2.0)} AS ix, {cell('y', 2.0)} AS iy FROM li WHERE cloud_id <= 3)
+@query("v16_occupancy_map", f"""WITH {LI}, p AS (SELECT DISTINCT {cell('x', 0.25)} AS ix, {cell('y', 0.25)} AS iy FROM li)
 SELECT ix, iy FROM p WHERE EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix+1 AND q.iy=p.iy) AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix-1 AND q.iy=p.iy)
  AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix AND q.iy=p.iy+1) AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix AND q.iy=p.iy-1)""")
 def v16(spark, sf):
-    r_ = A.depth_raster(lineitem_points(spark, sf).where("cloud_id <= 3"), 2.0)
+    r_ = A.depth_raster(lineitem_points(spark, sf), 0.25)
     return A.erode_pixels(r_.select("ix", "iy"))
 
 
@@ -431,12 +433,12 @@ for _name, _op, _sql in (("u1_mask_union", "Union", "x > 25 OR y > 50"), ("u2_ma
         lambda spark, sf, op=_op: A.combine_masks(*masks(spark, sf), op))
 
 
-@query("u4_concatenate", f"""WITH {LI} SELECT cloud_id, label, COUNT(*) AS n FROM (SELECT cloud_id, label FROM li WHERE cloud_id = 1
- UNION ALL SELECT cloud_id, CAST(0 AS BIGINT) FROM li WHERE cloud_id = 2) GROUP BY cloud_id, label""")
+@query("u4_concatenate", f"""WITH {LI} SELECT point_id, cloud_id, CASE WHEN cloud_id = 1 THEN label ELSE 0 END AS label, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM li""")
 def u4(spark, sf):
     p = lineitem_points(spark, sf)
-    both = A.concatenate(p.where("cloud_id = 1"), p.where("cloud_id = 2"))
-    return both.groupBy("cloud_id", "label").agg(F.count("*").alias("n"))
+    columns = ["point_id", "cloud_id", "label", *XYZ]
+    clouds = [p.where(F.col("cloud_id") == k).select(*columns) for k in range(1, 8)]  # order lines are numbered 1 to 7
+    return tidy(functools.reduce(A.concatenate, clouds))
 
 
 @query("u5_distinct_voxels", f"WITH {LI} SELECT DISTINCT {cell('x', 3.0)} AS gx, {cell('y', 3.0)} AS gy, {cell('z', 3.0)} AS gz FROM li")

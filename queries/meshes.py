@@ -19,13 +19,14 @@ PLACED = """placed AS (SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b
 meas AS (SELECT *, 0.5*SQRT(((by_-ay)*(cz-az)-(bz-az)*(cy-ay))*((by_-ay)*(cz-az)-(bz-az)*(cy-ay)) + ((bz-az)*(cx-ax)-(bx-ax)*(cz-az))*((bz-az)*(cx-ax)-(bx-ax)*(cz-az))
  + ((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))*((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))) AS area,
  (ax*(by_*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-by_*cx)) / CAST(6 AS DOUBLE) AS vol FROM placed)"""
+CORNERS = [n + c for n in "abc" for c in "xyz"]
 HE = """he AS (SELECT mesh_id, face_id, v0 AS a, v1 AS b FROM face UNION ALL SELECT mesh_id, face_id, v1, v2 FROM face UNION ALL SELECT mesh_id, face_id, v2, v0 FROM face),
 edge AS (SELECT mesh_id, LEAST(a, b) AS a, GREATEST(a, b) AS b, COUNT(*) AS valence FROM he GROUP BY 1, 2, 3)"""
 
 
-@query("m1_face_corners", f"WITH {SUP}, {PLACED} SELECT face_id, {r('ax')} AS ax, {r('az')} AS az, {r('bz')} AS bz, {r('cz')} AS cz FROM placed")
+@query("m1_face_corners", f"WITH {SUP}, {PLACED} SELECT face_id, " + ", ".join(f"{r('by_' if c == 'by' else c)} AS {c}_" for c in CORNERS) + " FROM placed")
 def m1(spark, sf):
-    return tidy(M.with_corners(*supplier_meshes(spark, sf)).select("face_id", "ax", "az", "bz", "cz"))
+    return tidy(M.with_corners(*supplier_meshes(spark, sf)).select("face_id", *[F.col(c).alias(f"{c}_") for c in CORNERS]))
 
 
 @query("a13_edge_valence", f"WITH {SUP}, {HE} SELECT * FROM edge")
@@ -53,20 +54,32 @@ lab AS (SELECT n, MIN(seen) AS root FROM walk GROUP BY n)"""
 RIM = "rim AS (SELECT h.mesh_id, h.a, h.b FROM he h JOIN edge e ON e.mesh_id = h.mesh_id AND e.a = LEAST(h.a, h.b) AND e.b = GREATEST(h.a, h.b) WHERE valence = 1)"
 
 
-@query("x12_boundary_loops", f"WITH RECURSIVE {SUP}, {HE}, {RIM}, ends AS (SELECT a AS n FROM rim UNION SELECT b FROM rim), {walk('rim', 'ends', 'n')} SELECT mesh_id, root AS loop, a, b FROM rim JOIN lab ON n = a")
+# Half-edges with ids, successors found by turning through the faces around the end vertex, and loops by walking them.
+LOOPS = f"""hs AS (SELECT mesh_id, face_id, 0 AS side, v0 AS a, v1 AS b FROM face UNION ALL SELECT mesh_id, face_id, 1, v1, v2 FROM face UNION ALL SELECT mesh_id, face_id, 2, v2, v0 FROM face),
+h3 AS (SELECT mesh_id, face_id * 3 + side AS edge, face_id * 3 + (side + 1) % 3 AS onward, a, b FROM hs),
+twin AS (SELECT p.edge, q.onward AS over FROM h3 p JOIN h3 q ON q.a = p.b AND q.b = p.a),
+turn(edge, cur) AS (SELECT h3.edge, h3.onward FROM h3 WHERE edge NOT IN (SELECT edge FROM twin) UNION SELECT t.edge, w.over FROM turn t JOIN twin w ON w.edge = t.cur),
+succ AS (SELECT t.edge, t.cur AS next FROM turn t WHERE t.cur NOT IN (SELECT edge FROM twin)),
+round(edge, seen) AS (SELECT edge, next FROM succ UNION SELECT r.edge, s.next FROM round r JOIN succ s ON s.edge = r.seen),
+loops AS (SELECT h3.mesh_id, MIN(seen) AS loop, h3.edge, h3.a, h3.b FROM round JOIN h3 USING (edge) GROUP BY 1, 3, 4, 5)"""
+
+
+@query("x12_boundary_loops", f"WITH RECURSIVE {SUP}, {LOOPS} SELECT mesh_id, loop, edge, next, a, b FROM loops JOIN succ USING (edge)")
 def x12(spark, sf):
     return M.boundary_loops(supplier_meshes(spark, sf)[1])
 
 
-@query("a14_loop_perimeters", f"""WITH RECURSIVE {SUP}, {HE}, {RIM}, ends AS (SELECT a AS n FROM rim UNION SELECT b FROM rim), {walk('rim', 'ends', 'n')}
-SELECT rim.mesh_id, root AS loop, COUNT(*) AS edges, {r('SUM(SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)))')} AS perimeter
- FROM rim JOIN lab ON n = a JOIN vert p ON p.vertex_id = rim.a JOIN vert q ON q.vertex_id = rim.b GROUP BY 1, 2""")
+@query("a14_loop_perimeters", f"""WITH RECURSIVE {SUP}, {LOOPS}
+SELECT rim.mesh_id, loop, COUNT(*) AS edges, {r('SUM(SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)))')} AS perimeter
+ FROM loops rim JOIN vert p ON p.vertex_id = rim.a JOIN vert q ON q.vertex_id = rim.b GROUP BY 1, 2""")
 def a14_loops(spark, sf):
     v, f = supplier_meshes(spark, sf)
     return tidy(M.loop_perimeters(M.boundary_loops(f), v))
 
 
-@query("m7_loop_order")
+@query("m7_loop_order", f"""WITH RECURSIVE {SUP}, {LOOPS}, place(loop, edge, position) AS (SELECT DISTINCT loop, loop, CAST(0 AS BIGINT) FROM loops
+ UNION ALL SELECT p.loop, s.next, p.position + 1 FROM place p JOIN succ s ON s.edge = p.edge WHERE s.next <> p.loop)
+SELECT p.loop, l.a AS vertex_id, p.position FROM place p JOIN loops l ON l.edge = p.edge""")
 def m7_order(spark, sf):
     return M.loop_order(M.boundary_loops(supplier_meshes(spark, sf)[1]))
 
@@ -85,7 +98,7 @@ def x10(spark, sf):
     return M.face_components(supplier_meshes(spark, sf)[1])
 
 
-@query("m6_patch_sizes")
+@query("m6_patch_sizes", hop_sql("TRUE", "SELECT root AS patch, COUNT(*) AS faces FROM lab GROUP BY root"))
 def m6(spark, sf):
     return M.face_components(supplier_meshes(spark, sf)[1]).groupBy("patch").agg(F.count("*").alias("faces"))
 
@@ -123,22 +136,29 @@ def a15(spark, sf):
     return tidy(M.largest_face(M.with_corners(v, f), M.face_components(f, seams(v, f))).select("patch", "area"))
 
 
-CHECKS = """fan AS (SELECT mesh_id, v, COUNT(*) AS f FROM (SELECT mesh_id, UNNEST([v0, v1, v2]) AS v FROM face) GROUP BY 1, 2),
-inn AS (SELECT v, COUNT(*) AS e FROM (SELECT UNNEST([a, b]) AS v FROM edge WHERE valence > 1) GROUP BY 1),
-bow AS (SELECT mesh_id, COUNT(*) AS bow_tie FROM fan LEFT JOIN inn USING (v) WHERE f - COALESCE(e, 0) > 1 GROUP BY 1),
+CHECKS = f"""cf AS (SELECT mesh_id, v, face_id FROM (SELECT mesh_id, face_id, UNNEST([v0, v1, v2]) AS v FROM face)),
+cn AS (SELECT DISTINCT p.v, p.face_id AS f, q.face_id AS g FROM (SELECT face_id, UNNEST([a, b]) AS v, LEAST(a, b) AS l, GREATEST(a, b) AS h FROM he) p
+ JOIN (SELECT face_id, UNNEST([a, b]) AS v, LEAST(a, b) AS l, GREATEST(a, b) AS h FROM he) q ON p.v = q.v AND p.l = q.l AND p.h = q.h AND p.face_id <> q.face_id),
+sp(v, f, seen) AS (SELECT v, face_id, face_id FROM cf UNION SELECT s.v, s.f, cn.g FROM sp s JOIN cn ON cn.v = s.v AND cn.f = s.seen),
+fan AS (SELECT v, COUNT(DISTINCT root) AS fans FROM (SELECT v, f, MIN(seen) AS root FROM sp GROUP BY 1, 2) GROUP BY v),
+bow AS (SELECT mesh_id, COUNT(*) AS bow_tie FROM fan JOIN vert ON vertex_id = v WHERE fans > 1 GROUP BY 1),
+dup AS (SELECT mesh_id, CAST(SUM(n - 1) AS BIGINT) AS duplicate FROM (SELECT mesh_id, list_sort([v0, v1, v2]) AS t, COUNT(*) AS n FROM face GROUP BY 1, 2) GROUP BY 1),
+flat AS (SELECT mesh_id, COUNT(*) FILTER (v0 = v1 OR v1 = v2 OR v0 = v2 OR area*area*4 < CAST(1e-10 AS DOUBLE)) AS degenerate,
+ COUNT(*) FILTER (LEAST((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)+(az-bz)*(az-bz), (cx-bx)*(cx-bx)+(cy-by_)*(cy-by_)+(cz-bz)*(cz-bz), (ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)+(az-cz)*(az-cz)) < CAST(1e-12 AS DOUBLE)) AS short_edges
+ FROM meas GROUP BY 1),
 ed AS (SELECT mesh_id, COUNT(*) AS edges, COUNT(*) FILTER (valence = 1) AS boundary, COUNT(*) FILTER (valence > 2) AS non_manifold FROM edge GROUP BY 1)"""
 
 
-@query("m4_diagnostics", f"""WITH {SUP}, {PLACED}, {HE}, {CHECKS}, vc AS (SELECT mesh_id, COUNT(*) AS vertices, COUNT(*) FILTER (vertex_id NOT IN (SELECT UNNEST([v0, v1, v2]) FROM face)) AS isolated FROM vert GROUP BY 1),
-fc AS (SELECT mesh_id, COUNT(*) AS faces, SUM(vol) AS volume, SUM(area) AS area, COUNT(*) FILTER (area*area*4 < CAST(1e-10 AS DOUBLE)) AS degenerate FROM meas GROUP BY 1)
-SELECT mesh_id, vertices, faces, edges, degenerate, CAST(0 AS BIGINT) AS duplicate, boundary, non_manifold, COALESCE(bow_tie, 0) AS bow_tie, {r('volume')} AS volume, {r('area')} AS area, isolated,
- boundary = 0 AND COALESCE(bow_tie, 0) = 0 AND degenerate = 0 AS watertight FROM vc JOIN fc USING (mesh_id) JOIN ed USING (mesh_id) LEFT JOIN bow USING (mesh_id)""")
+@query("m4_diagnostics", f"""WITH RECURSIVE {SUP}, {PLACED}, {HE}, {CHECKS}, vc AS (SELECT mesh_id, COUNT(*) AS vertices, COUNT(*) FILTER (vertex_id NOT IN (SELECT UNNEST([v0, v1, v2]) FROM face)) AS isolated FROM vert GROUP BY 1),
+fc AS (SELECT mesh_id, COUNT(*) AS faces, SUM(vol) AS volume, SUM(area) AS area FROM meas GROUP BY 1)
+SELECT mesh_id, vertices, faces, edges, degenerate, CAST(duplicate AS BIGINT) AS duplicate, boundary, non_manifold, COALESCE(bow_tie, 0) AS bow_tie, {r('volume')} AS volume, {r('area')} AS area, isolated,
+ boundary = 0 AND COALESCE(bow_tie, 0) = 0 AND degenerate = 0 AS watertight FROM vc JOIN fc USING (mesh_id) JOIN flat USING (mesh_id) JOIN dup USING (mesh_id) JOIN ed USING (mesh_id) LEFT JOIN bow USING (mesh_id)""")
 def m4(spark, sf):
     return tidy(M.diagnostics(*supplier_meshes(spark, sf)))
 
 
-@query("m3_soup_checks", f"""WITH {SUP}, {PLACED}, {HE}, {CHECKS} SELECT mesh_id, c AS check, n FROM (SELECT mesh_id, UNNEST(['boundary', 'non_manifold', 'bow_tie', 'degenerate', 'short_edges', 'duplicate']) AS c,
- UNNEST([boundary, non_manifold, COALESCE(bow_tie, 0), 0, 0, 0]) AS n FROM ed LEFT JOIN bow USING (mesh_id))""")
+@query("m3_soup_checks", f"""WITH RECURSIVE {SUP}, {PLACED}, {HE}, {CHECKS} SELECT mesh_id, c AS check, n FROM (SELECT mesh_id, UNNEST(['boundary', 'non_manifold', 'bow_tie', 'degenerate', 'short_edges', 'duplicate']) AS c,
+ UNNEST([boundary, non_manifold, COALESCE(bow_tie, 0), degenerate, short_edges, duplicate]) AS n FROM ed JOIN flat USING (mesh_id) JOIN dup USING (mesh_id) LEFT JOIN bow USING (mesh_id))""")
 def m3(spark, sf):
     return M.validate(M.with_corners(*supplier_meshes(spark, sf)))
 

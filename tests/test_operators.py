@@ -72,12 +72,19 @@ def test_components_of_long_chains_in_small_chunks(spark, monkeypatch):
     assert [got[i] for i in range(120)] == roots(120, edges)
 
 
-def test_plane_outliers_flag_exactly_the_far_points(spark):
-    flat = np.column_stack([RNG.random((200, 2)), np.zeros(200)])
-    # Low enough that the fitted plane still follows the sheet, high enough to be no neighbour of it.
+def test_plane_outliers_are_those_of_a_plane_fitted_by_brute_force(spark):
+    rng = np.random.default_rng(21)
+    flat = np.column_stack([rng.random((200, 2)), np.zeros(200)])
     p = np.concatenate([flat, [[0.5, 0.5, 0.3], [0.3, 0.6, -0.3]]])
-    bad = {r.point_id for r in O.plane_fit(cloud(spark, p), 20, 0.085).where("is_outlier").collect()}
-    assert bad == {200, 201}
+    order = np.argsort(np.linalg.norm(p[:, None] - p[None], axis=2), axis=1, kind="stable")[:, :20]
+    away = []
+    for i, near in enumerate(order):
+        centred = p[near] - p[near].mean(axis=0)
+        normal = np.linalg.eigh(centred.T @ centred)[1][:, 0]
+        away.append(abs(normal @ (p[i] - p[near].mean(axis=0))))
+    got = {r.point_id: r for r in O.plane_fit(cloud(spark, p), 20, 0.085).collect()}
+    assert np.allclose([got[i].plane_distance for i in range(len(p))], away, atol=1e-9)
+    assert {i for i, r in got.items() if r.is_outlier} == {i for i, d in enumerate(away) if d > 0.085}
     mask = {r.point_id for r in O.radius_mask(cloud(spark, p), 0.25, 5).where("is_outlier").collect()}
     assert mask == {r.point_id for r in O.radius(cloud(spark, p), 0.25, 5).where("is_outlier").collect()} == {200, 201}
 
