@@ -6,7 +6,7 @@ into one task: edges, loops, patches and paths are joins and groupings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pointweave.functions import boxes as B, keys as K, triangles as T, vector as V
 from pointweave.operators import components as C
@@ -286,14 +286,53 @@ def nearest_hit(points: DataFrame, placed: DataFrame, axis: int = 2, size: float
     return best.select("point_id", F.col("m.face_id").alias("face_id"), F.col("m.t").alias("t"))
 
 
-def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0) -> DataFrame:
-    """(point_id, mesh_id): closed meshes containing the point, by ray parity along +z.
+def _covers(px, py, ends) -> Column:
+    """Does the triangle's outline wind around (px, py)? Each edge owns its lower end and not its upper one.
 
-    Points whose ray runs exactly through an edge or vertex need a nudge by the caller.
+    The edge is evaluated from its lower end whichever face asks, so a point on an edge or a vertex falls to the
+    same side for all faces there and is counted once, or twice where the surface folds back.
     """
-    hits = ray_hits(points, placed, 2, size)
-    odd = hits.groupBy("point_id", "mesh_id").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1)
-    return odd.select("point_id", "mesh_id")
+    crossings = F.lit(0)
+    for (ax, ay), (bx, by) in zip(ends, (*ends[1:], ends[0])):
+        low, high = F.least(ay, by), F.greatest(ay, by)
+        low_x, high_x = F.when(ay < by, ax).otherwise(bx), F.when(ay < by, bx).otherwise(ax)
+        at = F.when(high > low, low_x + (py - low) * (high_x - low_x) / (high - low))
+        crossings = crossings + F.when((low <= py) & (py < high) & (px < at), 1).otherwise(0)
+    return crossings % 2 == 1
+
+
+def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+    """(point_id, mesh_id, side, face_id): closed meshes that hold the point, ``inside`` or ``on`` their surface.
+
+    face_id is a face that a point on the surface lies on, the one with the largest id, and NULL inside.
+
+    A point within the tolerance of a face is on the surface. For the others the faces above decide by parity, with
+    a rule that counts rays through edges and vertices right, so no point needs a nudge. Rows with an invalid
+    position are in no mesh.
+    """
+    points = points.where(F.coalesce(V.is_valid(*[F.col(c) for c in XYZ]), F.lit(False)))
+    above = fan_out(placed, "face_id")
+    for g, c in zip(CELL[:2], XYZ[:2]):
+        ends = [F.col(f"{n}{c}") for n in "abc"]
+        above = above.withColumn(g, F.explode(F.sequence(K.cell(F.least(*ends), size), K.cell(F.greatest(*ends), size))))
+    asked = points.select("point_id", *XYZ, *[K.cell(F.col(c), size).alias(g) for c, g in zip(XYZ, CELL)])
+    met = asked.drop("gz").join(above.hint("shuffle_hash"), CELL[:2])
+    nx, ny, nz = _cross()
+    height = F.when(nz != 0, F.col("az") - (nx * (F.col("x") - F.col("ax")) + ny * (F.col("y") - F.col("ay"))) / nz)
+    outline = [(F.col(f"{n}x"), F.col(f"{n}y")) for n in "abc"]
+    hit = met.where((height > F.col("z")) & _covers(F.col("x"), F.col("y"), outline))
+    odd = hit.groupBy("point_id", "mesh_id").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1)
+    touched = fan_out(placed, "face_id")
+    for g, c in zip(CELL, XYZ):
+        ends = [F.col(f"{n}{c}") for n in "abc"]
+        touched = touched.withColumn(g, F.explode(F.sequence(
+            K.cell(F.least(*ends) - tolerance, size), K.cell(F.greatest(*ends) + tolerance, size))))
+    close = asked.join(touched.hint("shuffle_hash"), CELL).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
+    close = close.where(T.closest_on_triangle(V.vec(*XYZ), *corners())["d2"] <= tolerance * tolerance)
+    both = odd.select("point_id", "mesh_id", F.lit("inside").alias("side"), F.lit(None).cast("long").alias("face_id")).unionByName(
+        close.select("point_id", "mesh_id", F.lit("on").alias("side"), F.col("face_id").cast("long")))
+    return both.groupBy("point_id", "mesh_id").agg(F.max(F.struct("side", "face_id")).alias("m")).select(
+        "point_id", "mesh_id", "m.side", "m.face_id")
 
 
 def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> DataFrame:
@@ -332,13 +371,22 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
 
 
 def classify_patches(placed: DataFrame, patches: DataFrame, solid: DataFrame, size: float = 1.0) -> DataFrame:
-    """(patch, inside): is the centroid of the patch's largest face inside the solid?"""
+    """(patch, side): where the centroid of the patch's largest face lies with regard to the solid.
+
+    ``outside``, ``inside``, or on its surface: ``same`` where the two faces look the same way, ``opposite`` where
+    they look at each other. A surface counts before an inside of another mesh of the solid.
+    """
     chosen = largest_face(placed, patches).select("patch", "face_id")
     a, b, c = corners()
     mid = V.scale(V.add(V.add(a, b), c), F.lit(1.0 / 3.0))
-    probes = placed.join(chosen, "face_id").select(F.col("patch").alias("point_id"), *[m.alias(k) for m, k in zip(mid, XYZ)])
-    hit = inside_mesh(probes, solid, size).select(F.col("point_id").alias("patch")).distinct().withColumn("inside", F.lit(True))
-    return chosen.select("patch").join(hit, "patch", "left").na.fill(False, ["inside"])
+    own = [n.alias(k) for n, k in zip(_cross(), ("nx", "ny", "nz"))]
+    probes = cut(placed.join(chosen, "face_id").select(F.col("patch").alias("point_id"), *[m.alias(k) for m, k in zip(mid, XYZ)], *own))
+    held = inside_mesh(probes.select("point_id", *XYZ), solid, size).groupBy("point_id").agg(F.max(F.struct("side", "face_id")).alias("m"))
+    there = solid.select("face_id", *[n.alias(k) for n, k in zip(_cross(), ("mx", "my", "mz"))])
+    both = probes.join(held.select("point_id", "m.side", "m.face_id"), "point_id", "left").join(there, "face_id", "left")
+    along = V.dot(V.vec("nx", "ny", "nz"), V.vec("mx", "my", "mz")) > 0
+    side = F.when(F.col("side").isNull(), "outside").when(F.col("side") == "inside", "inside").when(along, "same").otherwise("opposite")
+    return both.select(F.col("point_id").alias("patch"), side.alias("side"))
 
 
 def shortest_paths(vertices: DataFrame, faces: DataFrame, sources: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ from pointweave.operators.sites import XYZ, Sites
 from pointweave.session import cut, fan_out
 
 SLACK = 1e-9  # widens cell enumeration so that rounding cannot lose a boundary pair
-HOT_ROWS = 50_000  # a cell with fewer candidates than this is never split
-HOT_SHARE = 1_000  # a hot cell holds over 1/1000 of all rows, so there are at most 1000
+HOT_ROWS = 50_000  # candidates of a cell that one task builds; a fuller cell is split
 CELL = ["gx", "gy", "gz"]
 
 
@@ -31,19 +30,13 @@ def overlapping_cells(df: DataFrame, reach: Column, size: Column, origin=(0.0, 0
 
 
 def hot_cells(celled: DataFrame) -> DataFrame | None:
-    """Cells holding an outsized share of the rows, with the number of splits each needs.
+    """Cells of more than ``HOT_ROWS`` rows, with the number of splits each needs to keep to it.
 
-    At most ``HOT_SHARE`` rows by construction, hence safe to broadcast.
+    A table, not a list: its size is known to the planner, which broadcasts it only where it is small.
     """
-    total = celled.count()
-    limit = max(HOT_ROWS, total // HOT_SHARE)
-    if total <= limit:
-        return None
-    rows = celled.groupBy(*CELL).count().where(F.col("count") > limit).collect()
-    if not rows:
-        return None
-    splits = [(r.gx, r.gy, r.gz, math.ceil(r["count"] / limit)) for r in rows]
-    return F.broadcast(celled.sparkSession.createDataFrame(splits, "gx long, gy long, gz long, splits long"))
+    crowded = celled.groupBy(*CELL).count().where(F.col("count") > HOT_ROWS)
+    crowded = cut(crowded.select(*CELL, F.ceil(F.col("count") / HOT_ROWS).cast("long").alias("splits")))
+    return None if crowded.isEmpty() else crowded
 
 
 def join_on_cells(queries: DataFrame, candidates: DataFrame, candidate_id: str, split_hot: bool = True) -> DataFrame:

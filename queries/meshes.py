@@ -196,10 +196,14 @@ def probes(spark, sf):
 PROBE = f"pr AS (SELECT point_id, y * CAST(20 AS DOUBLE) + {lit(0.0371)} AS x, x / CAST(25 AS DOUBLE) + {lit(0.0013)} AS y, z / CAST(5 AS DOUBLE) + {lit(0.0007)} AS z FROM li)"
 
 
-@query("j15_points_in_boxes", f"""WITH {LI}, {BOX}, {PROBE}, near AS (SELECT pr.*, b.* FROM pr JOIN b ON b.mesh_id BETWEEN {big('FLOOR(pr.x / 3)')} - 2 AND {big('FLOOR(pr.x / 3)')})
-SELECT point_id, mesh_id FROM near WHERE x BETWEEN x0 AND x0 + sx AND y BETWEEN 0 AND sy AND z BETWEEN 0 AND sz""")
+@query("j15_points_in_boxes", f"""WITH {LI}, {BOX}, pr AS (SELECT point_id, y * CAST(20 AS DOUBLE) AS x, (x - 1) / CAST(25 AS DOUBLE) AS y, z / CAST(5 AS DOUBLE) AS z FROM li),
+near AS (SELECT pr.*, b.* FROM pr JOIN b ON b.mesh_id BETWEEN {big('FLOOR(pr.x / 3)')} - 2 AND {big('FLOOR(pr.x / 3)')} + 1),
+d AS (SELECT point_id, mesh_id, LEAST(x - x0, x0 + sx - x, y, sy - y, z, sz - z) AS depth FROM near)
+SELECT point_id, mesh_id, CASE WHEN depth > {lit(1e-9)} THEN 'inside' ELSE 'on' END AS side FROM d WHERE depth >= -{lit(1e-9)}""")
 def j15(spark, sf):
-    return M.inside_mesh(probes(spark, sf), M.with_corners(*part_boxes(spark, sf))).select("point_id", "mesh_id")
+    p = lineitem_points(spark, sf)  # many of them lie on sides, edges and corners of the boxes
+    p = p.select("point_id", (F.col("y") * 20.0).alias("x"), ((F.col("x") - 1.0) / 25.0).alias("y"), (F.col("z") / 5.0).alias("z"))
+    return M.inside_mesh(p, M.with_corners(*part_boxes(spark, sf))).drop("face_id")
 
 
 @query("j14_nearest_hit", f"""WITH {LI}, {BOX}, {PROBE}, near AS (SELECT pr.*, b.* FROM pr JOIN b ON b.mesh_id BETWEEN {big('FLOOR(pr.x / 3)')} - 2 AND {big('FLOOR(pr.x / 3)')}),

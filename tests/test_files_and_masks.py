@@ -119,6 +119,33 @@ def test_rims_that_touch_stay_separate_loops(spark):
     assert all(sorted(p for p, _ in places) == [0, 1, 2] for places in by.values())
 
 
+BOX = "mesh_id long, x0 double, y0 double, z0 double, sx double, sy double, sz double"
+
+
+def test_points_of_a_box_are_told_apart_wherever_their_rays_run(spark):
+    placed = M.with_corners(*tables.boxes(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], BOX)))
+    grid = [(x / 4, y / 4, z / 4) for x in range(-1, 6) for y in range(-1, 6) for z in range(-1, 6)]
+    rows = [(i, *map(float, p)) for i, p in enumerate(grid)] + [(9999, None, 0.5, 0.5)]
+    cloud = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    got = {r.point_id: r.side for r in M.inside_mesh(cloud, placed).collect()}
+    for i, p in enumerate(grid):
+        depth = min(min(c, 1 - c) for c in p)
+        assert got.get(i) == ("inside" if depth > 0 else "on" if depth == 0 else None), p
+    assert 9999 not in got
+
+
+def test_patches_are_classified_by_side(spark):
+    solid = M.with_corners(*tables.boxes(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 4.0, 4.0, 4.0)], BOX)))
+    boxes = [(1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 9.0, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    v, f = tables.boxes(spark.createDataFrame(boxes, BOX))
+    found = M.classify_patches(M.with_corners(v, f), M.face_components(f), solid)
+    assert sorted(r.side for r in found.collect()) == ["inside", "outside"]
+    faces = solid.select("mesh_id", "face_id", "v0", "v1", "v2").select("face_id", F.col("face_id").alias("patch"))
+    assert {r.side for r in M.classify_patches(solid, faces, solid).collect()} == {"same"}
+    turned = solid.select("mesh_id", "face_id", "v0", F.col("v2").alias("v1"), F.col("v1").alias("v2"), *[F.col(f"{n}{c}").alias(f"{m}{c}") for n, m in ("aa", "cb", "bc") for c in "xyz"])
+    assert {r.side for r in M.classify_patches(turned, faces, solid).collect()} == {"opposite"}
+
+
 @pytest.mark.parametrize("forward", [(0, 0, -1), (1, 2, 3), (0, 1, 0), (0, -5, 0.01)])
 def test_frustum_holds_what_the_view_angles_allow(forward):
     planes = P.frustum_planes((1, 2, 3), forward, 0.5, 10.0)
