@@ -138,9 +138,11 @@ def scaling(x, y, z) -> np.ndarray:
     return np.diag([x, y, z, 1.0]).astype(float)
 
 
-def shear(xy=0.0, xz=0.0, yx=0.0, yz=0.0, zx=0.0, zy=0.0) -> np.ndarray:
+def shear(factors) -> np.ndarray:
+    """Entry (r, c) of the 3x3 ``factors`` adds that share of axis c to axis r; its diagonal is not read."""
     m = np.eye(4)
-    m[0, 1], m[0, 2], m[1, 0], m[1, 2], m[2, 0], m[2, 1] = xy, xz, yx, yz, zx, zy
+    off = ~np.eye(3, dtype=bool)
+    m[:3, :3][off] = np.asarray(factors, float)[off]
     return m
 
 

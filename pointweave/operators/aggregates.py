@@ -105,8 +105,8 @@ def label_counts(points: DataFrame, label: str = "label", fill_gaps: bool = True
     counts = points.groupBy(label).agg(F.count("*").alias("count"))
     if not fill_gaps:
         return counts
-    top = points.agg(F.max(label).alias("top"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long"))).alias(label))
+    top = points.agg(F.max(label)).first()[0]
+    every = points.sparkSession.range(0 if top is None else int(top) + 1).withColumnRenamed("id", label)
     return every.join(counts, label, "left").select(label, F.coalesce("count", F.lit(0)).alias("count"))
 
 

@@ -108,6 +108,20 @@ def f11(spark, sf):
     return lineitem_points(spark, sf).select("point_id", K.morton_signed(*K.cells(pos(), 0.3, (25.0, 50.0, 0.0))).alias("key"))
 
 
+@query("f10_morton_decode", f"WITH {LI} SELECT point_id, {cell('x', 0.3)} AS gx, {cell('y', 0.3)} AS gy, {cell('z', 0.3)} AS gz FROM li")
+def f10_decode(spark, sf):
+    key = K.morton(*K.cells(pos(), 0.3))
+    return lineitem_points(spark, sf).select("point_id", key.alias("key")).select(
+        "point_id", *[c.cast("long").alias(g) for c, g in zip(K.unmorton(F.col("key")), ("gx", "gy", "gz"))])
+
+
+@query("f11_signed_morton_decode", f"WITH {LI}, {CELLS} SELECT point_id, gx, gy, gz FROM c")
+def f11_decode(spark, sf):
+    key = K.morton_signed(*K.cells(pos(), 0.3, (25.0, 50.0, 0.0)))
+    return lineitem_points(spark, sf).select("point_id", key.alias("key")).select(
+        "point_id", *[c.cast("long").alias(g) for c, g in zip(K.unmorton_signed(F.col("key")), ("gx", "gy", "gz"))])
+
+
 @query("f12_spatial_hash", f"""WITH {LI}, {CELLS}, m AS (SELECT point_id, (gx*73856093) & 4294967295 AS a, (gy*19349663) & 4294967295 AS b, (gz*83492791) & 4294967295 AS c FROM c),
 s AS (SELECT point_id, xor(xor(CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END, CASE WHEN b >= 2147483648 THEN b - 4294967296 ELSE b END),
  CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END) AS h FROM m)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointweave.operators import aggregates as A, clustering as C, components, neighbors as N, outliers as O
+from pointweave.functions import matrix as M, vector as V
+from pointweave.operators import aggregates as A, clustering as C, components, neighbors as N, outliers as O, registration
 from pointweave.sources.tables import embedding_points, lineitem_points
 from queries.registry import (EMB, LI, MOMENTS, big, cluster_sql, eigen_sql, knn_sql, lit, pairs_sql, query, r, tidy)
 
@@ -47,6 +48,46 @@ def j4_lines(spark, sf):
     return tidy(N.local_density(lineitem_points(spark, sf), 1.0))
 
 
+@query("p9_density_threshold", f"WITH {LI}, {GRID} SELECT point_id, COUNT(*) AS density FROM near GROUP BY point_id HAVING COUNT(*) >= 4")
+def p9(spark, sf):
+    return tidy(N.local_density(lineitem_points(spark, sf), 1.0).where("density >= 4"))
+
+
+@query("n6_normal_deviation_lines", f"""WITH {LI}, {GRID}, m AS (SELECT near.point_id,
+ AVG(DEGREES(ACOS(GREATEST(CAST(-1 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), p.nx*q.nx + p.ny*q.ny + p.nz*q.nz))))) AS dev
+ FROM near JOIN li p ON p.point_id = near.point_id JOIN li q ON q.point_id = n_id WHERE n_id <> near.point_id GROUP BY near.point_id)
+SELECT point_id, {r('COALESCE(dev, CAST(0 AS DOUBLE))', 4)} AS deviation, COALESCE(dev, CAST(0 AS DOUBLE)) > 45 AS is_outlier FROM li LEFT JOIN m USING (point_id)""")
+def n6_lines(spark, sf):
+    return tidy(O.normal_deviation(lineitem_points(spark, sf), 1.0, 45.0).select("point_id", "deviation", "is_outlier"), 4)
+
+
+@query("j2_knn_lines", f"""WITH {LI}, cells AS (SELECT *, CAST(FLOOR(x / 4) AS BIGINT) AS gx, CAST(FLOOR(y / 4) AS BIGINT) AS gy, CAST(FLOOR(z / 4) AS BIGINT) AS gz FROM li),
+asked AS (SELECT point_id, x, y, z, gx + i AS gx, gy + j AS gy, gz + k AS gz FROM cells, (SELECT UNNEST([-1, 0, 1]) AS i), (SELECT UNNEST([-1, 0, 1]) AS j), (SELECT UNNEST([-1, 0, 1]) AS k)),
+near AS (SELECT p.point_id, q.point_id AS n_id, (q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z) AS d2
+ FROM asked p JOIN cells q ON p.gx = q.gx AND p.gy = q.gy AND p.gz = q.gz),
+knn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY d2, n_id) AS rank FROM near WHERE d2 <= 16)
+SELECT point_id, rank, n_id, {r('SQRT(d2)')} AS distance FROM knn WHERE rank <= 4""")
+def j2_lines(spark, sf):
+    return tidy(N.knn(lineitem_points(spark, sf), 4).select("point_id", "rank", "n_id", "distance"))
+
+
+MOTION = M.translate(0.004, -0.003, 0.002) @ M.rotate((1.0, 2.0, 3.0), 0.01)
+
+
+@query("j10_registration", f"WITH {EMB} SELECT point_id, {r('x', 4)} AS x, {r('y', 4)} AS y, {r('z', 4)} AS z FROM emb")
+def j10(spark, sf):
+    """A cloud that was moved a little comes back to where it was."""
+    cloud = embedding_points(spark, sf)
+    moved = cloud.withColumns(dict(zip(("x", "y", "z"), M.transform_point(MOTION, V.vec("x", "y", "z")))))
+    return tidy(registration.register(moved, cloud, 30)[1].select("point_id", "x", "y", "z"), 4)
+
+
+@query("a12_weld_ball", f"""WITH RECURSIVE {EMB}, {pairs_sql(0.09, strict=True)}, links AS (SELECT point_id AS a, n_id AS b FROM pairs), {cluster_sql('links')}
+SELECT point_id AS vertex_id, label AS welded_id FROM labels""")
+def a12_ball(spark, sf):
+    return A.weld_ball(embedding_points(spark, sf).withColumnRenamed("point_id", "vertex_id"), 0.09)
+
+
 @query("j5_kernel_density", f"""WITH {EMB}, {pairs_sql(R)}
 SELECT point_id, {r(f"SUM(EXP(-d2 / ({lit(R / 2)} * {lit(R / 2)})))")} AS kde FROM pairs GROUP BY point_id""")
 def j5(spark, sf):
