@@ -238,7 +238,12 @@ def m13(spark, sf):
     return M.classify_patches(placed, M.face_components(f), shifted)
 
 
-@query("x11_shortest_paths")
+@query("x11_shortest_paths", f"""WITH RECURSIVE {SUP}, {HE}, w AS (SELECT e.a, e.b, SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS size FROM edge e JOIN vert p ON p.vertex_id = e.a JOIN vert q ON q.vertex_id = e.b),
+both_ways AS (SELECT a, b, size FROM w UNION ALL SELECT b, a, size FROM w),
+best(vertex_id, way) USING KEY (vertex_id) AS (SELECT MIN(vertex_id), CAST(0 AS DOUBLE) FROM vert GROUP BY mesh_id
+ UNION SELECT e.b, MIN(t.way + e.size) FROM best t JOIN both_ways e ON e.a = t.vertex_id LEFT JOIN recurring.best o ON o.vertex_id = e.b
+ WHERE o.way IS NULL OR t.way + e.size < o.way GROUP BY e.b)
+SELECT vertex_id, {r('way')} AS distance FROM best""")
 def x11(spark, sf):
     v, f = supplier_meshes(spark, sf)
     start = v.groupBy("mesh_id").agg(F.min("vertex_id").alias("vertex_id"))

@@ -150,10 +150,23 @@ def v8_normals(spark, sf):
     return tidy(W.zero_crossings(vol, 1.5))
 
 
-@query("v8_directional_crossings")
+DIRECTED = f"""mm AS (SELECT *, wd/w AS value FROM ds WHERE w >= {d(1e-9)}),
+pp AS (SELECT *, COUNT(*) OVER q AS c, MAX(value) OVER q AS hi FROM mm WINDOW q AS (PARTITION BY vx, vy, vz, dir // 2)),
+dv AS (SELECT vx, vy, vz, dir, value, w FROM pp WHERE NOT (c = 2 AND hi < 0) AND w > 0)"""
+DIRECTED_CROSS = " UNION ALL ".join(
+    f"""SELECT a.dir, CAST({i} AS BIGINT) AS axis, a.vx, a.vy, a.vz, a.w, a.value / (a.value - b.value) AS mu FROM dv a JOIN dv b ON b.dir = a.dir AND b.vx = a.vx + {m[0]} AND b.vy = a.vy + {m[1]} AND b.vz = a.vz + {m[2]} WHERE a.value * b.value < 0"""
+    for i, m in enumerate(((1, 0, 0), (0, 1, 0), (0, 0, 1))))
+
+
+def crossing_at(v, axis):
+    return r(f"(v{v} + {d(0.5)}) * {d(S)} + CASE WHEN axis = {axis} THEN mu * {d(S)} ELSE 0 END", 4)
+
+
+@query("v8_directional_crossings", f"""WITH {LI}, {FR}, {NORMALS}, {DIRSUM}, {DIRECTED}, cx AS ({DIRECTED_CROSS})
+SELECT dir, axis, vx, vy, vz, {crossing_at('x', 0)} AS x, {crossing_at('y', 1)} AS y, {crossing_at('z', 2)} AS z, {r('w', 4)} AS weight FROM cx""")
 def v8_dir(spark, sf):
     state = W.directional_merge(None, W.directional_sums(world_frames(spark, sf), S))
-    return tidy(W.directional_crossings(state, S))
+    return tidy(W.directional_crossings(state, S), 4)
 
 
 CORNER = " UNION ALL ".join(f"SELECT vx - {i} AS vx, vy - {j} AS vy, vz - {k} AS vz, {n} AS c, value FROM mt" for n, (i, j, k) in enumerate(W.CORNERS))
@@ -176,9 +189,45 @@ def v9(spark, sf):
     return tidy(W.net_vertices(mean_volume(spark, sf), 1.5))
 
 
-@query("n10_surface_net_triangles")
+# For each axis the cells around an edge, counter-clockwise about the axis, as offsets from the edge's lower node.
+AROUND = (((0, 0, 0), (0, -1, 0), (0, -1, -1), (0, 0, -1)), ((0, 0, 0), (0, 0, -1), (-1, 0, -1), (-1, 0, 0)),
+          ((0, 0, 0), (-1, 0, 0), (-1, -1, 0), (0, -1, 0)))
+
+
+def triangles_sql():
+    parts = []
+    for axis, cells in enumerate(AROUND):
+        step = [int(k == axis) for k in range(3)]
+        held = " AND ".join(f"EXISTS (SELECT 1 FROM full8 c WHERE c.vx = a.vx + {x} AND c.vy = a.vy + {y} AND c.vz = a.vz + {z})" for x, y, z in cells)
+        for inside, split in (("a.value < 0", ((0, 1, 2), (0, 2, 3))), ("a.value >= 0", ((3, 2, 1), (3, 1, 0)))):
+            for one, two, three in split:
+                at = ", ".join(f"a.v{v} + {cells[c][k]} AS \"{n}{v}\"" for n, c in zip("abc", (one, two, three)) for k, v in enumerate("xyz"))
+                parts.append(f"""SELECT {at} FROM mt a JOIN mt b ON b.vx = a.vx + {step[0]} AND b.vy = a.vy + {step[1]} AND b.vz = a.vz + {step[2]}
+ WHERE {inside} AND (a.value < 0) <> (b.value < 0) AND {held}""")
+    columns = ", ".join(f'"{n}{v}"' for n in "abc" for v in "xyz")
+    return f"""WITH {LI}, {MEAN}, full8 AS (SELECT vx, vy, vz FROM ({CORNER}) GROUP BY 1, 2, 3 HAVING COUNT(*) = 8)
+""" + " UNION ALL ".join(f"SELECT {columns} FROM ({p})" for p in parts)
+
+
+def first_corner(df):
+    """Triangles turned so that their smallest corner comes first, which keeps their direction."""
+    corner = lambda n: F.struct(*[F.col(f"{n}{v}").alias(v) for v in "xyz"])
+    turns = [F.array(corner(p), corner(q), corner(s)) for p, q, s in ("abc", "bca", "cab")]
+    return df.select(F.array_min(F.array(*turns)).alias("t")).select(
+        *[F.col("t")[k][v].alias(f"{n}{v}") for k, n in enumerate("abc") for v in "xyz"])
+
+
+TURNED_COLUMNS = ", ".join(f"t[{k + 1}][{i + 1}] AS {n}{v}_" for k, n in enumerate("abc") for i, v in enumerate("xyz"))
+
+
+_A, _B, _C = (f'["{n}x", "{n}y", "{n}z"]' for n in "abc")
+TURNS = f"[{_A}, {_B}, {_C}], [{_B}, {_C}, {_A}], [{_C}, {_A}, {_B}]"
+
+
+@query("n10_surface_net_triangles", f"SELECT {TURNED_COLUMNS} FROM (SELECT LEAST({TURNS}) AS t FROM ({triangles_sql()}))")
 def n10(spark, sf):
-    return W.net_triangles(mean_volume(spark, sf), 1.5)[1]
+    found = first_corner(W.net_triangles(mean_volume(spark, sf), 1.5)[1])
+    return found.select(*[F.col(c).alias(f"{c}_") for c in found.columns])
 
 
 FIELD = f"""lo AS (SELECT MIN(x) - {d(10.0)} AS lx, MIN(y) - {d(10.0)} AS ly, MIN(z) - {d(10.0)} AS lz FROM li),
@@ -198,7 +247,19 @@ def n14_smooth(spark, sf):
     return tidy(W.smooth_field(W.distance_field(lineitem_points(spark, sf), 2.0), 2.0))
 
 
-@query("n14_field_surface")
+def side_sql(axis, sign):
+    at = ["gx", "gy", "gz"]
+    return f"COALESCE((SELECT n.d FROM sm n WHERE " + " AND ".join(f"n.{g} = k.{g} + {sign if i == axis else 0}" for i, g in enumerate(at)) + "), 100)"
+
+
+@query("n14_field_surface", f"""WITH {LI}, {FIELD}, sm AS (SELECT a.gx, a.gy, a.gz, CASE WHEN ANY_VALUE(a.d) > {d(6.0)} THEN ANY_VALUE(a.d) ELSE AVG(b.d) END AS d
+ FROM fd a, o p, o q, o s, fd b WHERE ABS(p.k) <= 1 AND ABS(q.k) <= 1 AND ABS(s.k) <= 1 AND b.gx = a.gx + p.k AND b.gy = a.gy + q.k AND b.gz = a.gz + s.k GROUP BY 1, 2, 3),
+k AS (SELECT * FROM sm WHERE d < {d(1.4)}),
+gr AS (SELECT gx, gy, gz, {side_sql(0, 1)} - {side_sql(0, -1)} AS u, {side_sql(1, 1)} - {side_sql(1, -1)} AS v, {side_sql(2, 1)} - {side_sql(2, -1)} AS w FROM k)
+SELECT gx, gy, gz, {r(f'lx + gx * {d(2.0)}')} AS x, {r(f'ly + gy * {d(2.0)}')} AS y, {r(f'lz + gz * {d(2.0)}')} AS z,
+ {r('CASE WHEN u*u + v*v + w*w > 1e-6 THEN u / SQRT(u*u + v*v + w*w) ELSE 0 END', 4)} AS nx, {r('CASE WHEN u*u + v*v + w*w > 1e-6 THEN v / SQRT(u*u + v*v + w*w) ELSE 1 END', 4)} AS ny,
+ {r('CASE WHEN u*u + v*v + w*w > 1e-6 THEN w / SQRT(u*u + v*v + w*w) ELSE 0 END', 4)} AS nz FROM gr, lo""")
 def n14_surface(spark, sf):
     p = lineitem_points(spark, sf)
-    return tidy(W.field_surface(W.smooth_field(W.distance_field(p, 2.0), 2.0), p, 2.0, 0.7))
+    found = W.field_surface(W.smooth_field(W.distance_field(p, 2.0), 2.0), p, 2.0, 0.7)
+    return tidy(found.withColumns({n: F.round(n, 4) for n in ("nx", "ny", "nz")}))
