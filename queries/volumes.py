@@ -59,9 +59,10 @@ def v3(spark, sf):
     return tidy(W.integrate_normals(world_frames(spark, sf), S).select(*W.VOXEL, "value", "weight"), 5)
 
 
-AXES = " UNION ALL ".join(f"SELECT {i} AS dir, {d(float(a))} AS ax, {d(float(b))} AS ay, {d(float(c))} AS az" for i, (a, b, c) in enumerate(W.DIRECTIONS))
+SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+AXES = " UNION ALL ".join(f"SELECT {i} AS dir, {d(float(a))} AS ax, {d(float(b))} AS ay, {d(float(c))} AS az" for i, (a, b, c) in enumerate(SIX))
 DIRSUM = f"""dirs AS ({AXES}), dd AS (SELECT vx, vy, vz, CAST(dir AS BIGINT) AS dir, (nx*ax+ny*ay+nz*az) AS dt, f, s FROM ns, dirs WHERE NOT (s < {d(-0.5)} AND vdot > 0)),
-ds AS (SELECT vx, vy, vz, dir, SUM(dt*f*s) AS wd, SUM(dt*f) AS w FROM dd WHERE dt > {d(W.DIRECTION_THRESHOLD)} GROUP BY ALL)"""
+ds AS (SELECT vx, vy, vz, dir, SUM(dt*f*s) AS wd, SUM(dt*f) AS w FROM dd WHERE dt > SIN(PI() / 8) GROUP BY ALL)"""
 
 
 @query("v4_directional_sums", f"WITH {LI}, {FR}, {NORMALS}, {DIRSUM} SELECT vx, vy, vz, dir, {r('wd', 5)} AS sum_wd, {r('w', 5)} AS sum_w FROM ds")
@@ -137,6 +138,21 @@ CROSS = " UNION ALL ".join(
     for i, m in enumerate(((1, 0, 0), (0, 1, 0), (0, 0, 1))))
 
 
+def probe(n, axis, sign):
+    at = [big(f"FLOOR((pt.{v} + {d(1.5 * sign) if k == axis else d(0.0)}) / {d(1.5)})") for k, v in enumerate("xyz")]
+    return f"LEFT JOIN mt {n} ON {n}.vx = {at[0]} AND {n}.vy = {at[1]} AND {n}.vz = {at[2]}"
+
+
+PROBES = " ".join(probe(f"q{2 * a + k}", a, s) for a in range(3) for k, s in enumerate((1, -1)))
+POINT = ", ".join(f"(v{v} + {d(0.5)}) * {d(1.5)} + CASE WHEN axis = {a} THEN mu * {d(1.5)} ELSE {d(0.0)} END AS {v}" for a, v in enumerate("xyz"))
+
+
+def slope(axis, up):
+    whole = " AND ".join(f"p{k} IS NOT NULL" for k in range(6))
+    size = "SQRT(" + " + ".join(f"(p{2 * a} - p{2 * a + 1}) * (p{2 * a} - p{2 * a + 1})" for a in range(3)) + ")"
+    return r(f"CASE WHEN NOT ({whole}) THEN 0 WHEN {size} > 1e-6 THEN (p{2 * axis + 1} - p{2 * axis}) / {size} ELSE {up} END", 4)
+
+
 @query("v8_zero_crossings", f"""WITH {LI}, {MEAN}, cr AS ({CROSS}), mu AS (SELECT *, -f0/(f1-f0) AS mu FROM cr)
 SELECT vx, vy, vz, axis, weight, {r(f"(vx+{d(0.5)})*{d(1.5)} + CASE WHEN axis = 0 THEN mu*{d(1.5)} ELSE 0 END")} AS x, {r(f"(vz+{d(0.5)})*{d(1.5)} + CASE WHEN axis = 2 THEN mu*{d(1.5)} ELSE 0 END")} AS z FROM mu""")
 def v8(spark, sf):
@@ -144,10 +160,13 @@ def v8(spark, sf):
     return tidy(W.zero_crossings(vol, 1.5).select(*W.VOXEL, "axis", "weight", "x", "z"))
 
 
-@query("v8_zero_crossing_normals")
+@query("v8_zero_crossing_normals", f"""WITH {LI}, {MEAN}, cr AS ({CROSS}), mu AS (SELECT *, -f0/(f1-f0) AS mu FROM cr), pt AS (SELECT *, {POINT} FROM mu),
+pr AS (SELECT pt.*, {', '.join(f'q{k}.value AS p{k}' for k in range(6))} FROM pt {PROBES})
+SELECT vx, vy, vz, axis, weight, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z, {slope(0, 0)} AS nx, {slope(1, 1)} AS ny, {slope(2, 0)} AS nz FROM pr""")
 def v8_normals(spark, sf):
     vol = mean_volume(spark, sf).withColumns({c: F.lit(0.0) for c in W.NORMAL})
-    return tidy(W.zero_crossings(vol, 1.5))
+    found = W.zero_crossings(vol, 1.5)
+    return tidy(found.withColumns({n: F.round(n, 4) for n in W.NORMAL}))
 
 
 DIRECTED = f"""mm AS (SELECT *, wd/w AS value FROM ds WHERE w >= {d(1e-9)}),
@@ -169,15 +188,17 @@ def v8_dir(spark, sf):
     return tidy(W.directional_crossings(state, S), 4)
 
 
-CORNER = " UNION ALL ".join(f"SELECT vx - {i} AS vx, vy - {j} AS vy, vz - {k} AS vz, {n} AS c, value FROM mt" for n, (i, j, k) in enumerate(W.CORNERS))
+CUBE = [(n & 1, n >> 1 & 1, n >> 2) for n in range(8)]
+CUBE_EDGES = [(0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7)]
+CORNER = " UNION ALL ".join(f"SELECT vx - {i} AS vx, vy - {j} AS vy, vz - {k} AS vz, {n} AS c, value FROM mt" for n, (i, j, k) in enumerate(CUBE))
 
 
 def net_sql():
     ds = ", ".join(f"MAX(CASE WHEN c = {n} THEN value END) AS d{n}" for n in range(8))
     rows = []
-    for p, q in W.EDGES:
+    for p, q in CUBE_EDGES:
         t = f"(-d{p} / (d{q} - d{p}))"
-        pos = [f"({i} + {t} * {j - i})" for i, j in zip(W.CORNERS[p], W.CORNERS[q])]
+        pos = [f"({i} + {t} * {j - i})" for i, j in zip(CUBE[p], CUBE[q])]
         rows.append(f"SELECT vx, vy, vz, {pos[0]} AS px, {pos[1]} AS py, {pos[2]} AS pz FROM ok WHERE (d{p} < 0) <> (d{q} < 0)")
     return f"""WITH {LI}, {MEAN}, co AS ({CORNER}), ce AS (SELECT vx, vy, vz, COUNT(*) AS n, {ds} FROM co GROUP BY 1, 2, 3),
 ok AS (SELECT * FROM ce WHERE n = 8), x AS ({' UNION ALL '.join(rows)})
