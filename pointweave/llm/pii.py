@@ -38,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]{12,}={0,2}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _CANDIDATE = re.compile(r"[0-9@]")
 
 # Prefixes of well-known keys, names of secrets, words before telephone numbers and before versions.
@@ -102,7 +103,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
         return not before or ends[before - 1] <= a
 
     found = [("local_phone", m) for m in _LOCAL_PHONE.finditer(text)]
-    found += [("secret", m) for m in _TOKEN.finditer(text) if any(c in "0123456789" for c in m.group())]
+    found += [("secret", m) for m in _TOKEN.finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
     for kind, m in found:
         if not free(m.start(), m.end()):
             continue
