@@ -62,7 +62,7 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
         CAST(len(regexp_extract_all(t, '\p{Lu}')) AS BIGINT) AS n_capitals
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, CAST((n_words < 50) AS BIGINT) + 2 * CAST((100 * n_repeat_words > 50 * n_words) AS BIGINT)
-        + 4 * CAST((100 * n_symbols > 20 * n_words) AS BIGINT) + 8 * CAST((100 * n_dup_lines > 30 * n_lines) AS BIGINT)
+        + 4 * CAST((100 * n_symbols > 20 * n_words) AS BIGINT) + 8 * CAST((100 * n_dup_lines > 50 * n_lines) AS BIGINT)
         + 16 * CAST((word_chars < 2 * n_words OR word_chars > 20 * n_words) AS BIGINT)
         + 32 * CAST((100 * n_capitals > 40 * word_chars) AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,

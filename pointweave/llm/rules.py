@@ -23,7 +23,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 20 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     ("capitals", "100 * n_capitals > 40 * word_chars"),
 )
