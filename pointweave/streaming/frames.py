@@ -13,14 +13,17 @@ def read_frames(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def occupancy_stream(frames: DataFrame, size: float) -> DataFrame:
-    """Running hits, color sums and last frame per voxel; the state is one row per voxel.
+WEIGHT_CAP = 255  # fixed value: largest weight of a streamed voxel
 
-    Sums commute, so late frames change nothing but the order of arrival.
+
+def occupancy_stream(frames: DataFrame, size: float, cap: int = WEIGHT_CAP) -> DataFrame:
+    """Running hits, capped weight, mean colors and last frame per voxel; the state is one row per voxel.
+
+    Counts and means commute, so late frames change nothing but the order of arrival.
     """
     hit = W._to_voxels(frames, size, (F.col("x"), F.col("y"), F.col("z")))
     return hit.groupBy(*W.VOXEL).agg(
-        F.count("*").alias("hits"), *[F.avg(c).alias(c) for c in "rgb"], F.max("frame_id").alias("last_frame"))
+        F.count("*").alias("hits"), F.least(F.count("*"), F.lit(cap)).alias("weight"), *[F.avg(c).alias(c) for c in "rgb"], F.max("frame_id").alias("last_frame"))
 
 
 def directional_stream(frames: DataFrame, size: float) -> DataFrame:

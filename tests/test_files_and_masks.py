@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import aggregates as A, filters as P, mesh as M, outliers as O
+from pointweave.operators import aggregates as A, filters as P, mesh as M, outliers as O, volume as W
 from pointweave.plans.commands import Catalog, run_command
-from pointweave.sources import ply, tables
+from pointweave.sources import ply, tables, volumes
 
 HEAD = "ply\nformat ascii 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\n"
 
@@ -119,6 +119,19 @@ def test_rims_that_touch_stay_separate_loops(spark):
     assert all(sorted(p for p, _ in places) == [0, 1, 2] for places in by.values())
 
 
+def test_regions_of_a_snapshot_read_their_slabs_only(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    rows = [(int(a), int(b), int(c), 0.5, 1) for a, b, c in np.unique(rng.integers(-300, 300, (500, 3)), axis=0)]
+    volume = spark.createDataFrame(rows, "vx long, vy long, vz long, value double, weight long")
+    volumes.save(volume, str(tmp_path / "snap"), span=4)
+    low, high = (-3.0, -20.0, -20.0), (2.0, 20.0, 20.0)
+    got = volumes.load_region(spark, str(tmp_path / "snap"), 0.1, low, high)
+    want = W.within_region(volume, 0.1, low, high)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "slab" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 BOX = "mesh_id long, x0 double, y0 double, z0 double, sx double, sy double, sz double"
 
 
