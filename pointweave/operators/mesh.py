@@ -357,6 +357,9 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
         for g, c in zip(CELL, XYZ):
             asked = asked.withColumn(g, F.explode(F.sequence(K.cell(F.col(c) - width, grid), K.cell(F.col(c) + width, grid))))
         met = asked.join(face_cells(placed, grid).hint("shuffle_hash"), CELL)
+        # A face within reach is met in several cells; the one with the lower corner of the overlap tests it.
+        for g, c, least in zip(CELL, XYZ, _box().low):
+            met = met.where(F.col(g) == K.cell(F.greatest(F.col(c) - width, least), grid))
         # The box distance bounds the triangle distance and is far cheaper to test.
         met = met.where(_box().distance2(V.vec(*XYZ)) <= width * width) if width < reachable else met
         near = T.closest_on_triangle(V.vec(*XYZ), *corners())
