@@ -73,7 +73,9 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key another document holds too."""
     classes = rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    return rows.join(classes.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_semi")
+    # Dealt out otherwise than the join needs, so that it deals both sides itself and may split a key with many rows.
+    dealt = classes.select(F.col(key).alias("__key")).repartition(F.xxhash64("__key"))
+    return rows.join(dealt, F.col(key) == F.col("__key"), "left_semi")
 
 
 def _extended(kind: str):
