@@ -18,7 +18,7 @@ HEADLINE = [
     "j1_radius_join", "j4_local_density_lines", "n1_statistical_outliers", "n2_radius_outlier_mask_lines",
     "n3_plane_outliers", "n6_normal_deviation", "x4_euclidean_clusters", "x9_voxel_morphology", "p1_box_filter",
     "a4_voxel_downsample", "a5_merge_clouds", "a11_cell_statistics", "v6_occupancy", "v18_mean_distance_volume",
-    "v9_surface_net_vertices", "n14_distance_field", "a13_edge_valence", "m4_diagnostics", "j15_points_in_boxes",
+    "v9_surface_net_vertices", "n14_distance_field", "a13_edge_valence", "m4_diagnostics", "j15_points_in_boxes", "j13_closest_on_surface",
 ]
 
 
