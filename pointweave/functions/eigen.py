@@ -98,7 +98,7 @@ def with_smallest_vector(df: DataFrame, m: Sym3, prefix: str = "e_", out: str =
     return df.drop(best, line)
 
 
-def covariance_aggregates(x="x", y="y", z="z", prefix: str = "c_", shift: V.Vec | None = None):
+def covariance_aggregates(x="x", y="y", z="z", prefix: str = "c_"):
     """Means and population covariance of a group, mergeable map-side.
 
     Uses Spark's own covariance aggregates, which combine partial moments

@@ -10,21 +10,6 @@ from pyspark.sql.types import BooleanType
 from pointweave.functions import vector as V
 
 
-def _lets(names_and_exprs, body):
-    """Bind intermediate values by nesting one-element array transforms.
-
-    Keeps long geometric formulas from expanding exponentially.
-    """
-    def go(items, bound):
-        if not items:
-            return body(bound)
-        name, make = items[0]
-        value = make(bound)
-        return F.element_at(F.transform(F.array(value), lambda v: go(items[1:], {**bound, name: v})), 1)
-
-    return go(list(names_and_exprs), {})
-
-
 def closest_on_segment(p: V.Vec, a: V.Vec, b: V.Vec) -> V.Vec:
     ab = V.sub(b, a)
     size = V.length2(ab)

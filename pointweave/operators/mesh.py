@@ -6,6 +6,8 @@ into one task: edges, loops, patches and paths are joins and groupings.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointweave.functions import boxes as B, keys as K, triangles as T, vector as V
@@ -335,6 +337,30 @@ def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, toleran
         "point_id", "mesh_id", "m.side", "m.face_id")
 
 
+def _nearest_on_faces(batches):
+    """Nearest point of the triangle in each row, for whole batches at once.
+
+    As a column the formula repeats its parts so often that it is not compiled.
+    """
+    dot = lambda u, v: (u * v).sum(axis=1, keepdims=True)
+    for batch in batches:
+        p, a, b, c = (np.column_stack([batch[f"{n}{k}"].to_numpy() for k in XYZ]) for n in ("", "a", "b", "c"))
+        normal = np.cross(b - a, c - a)
+        size = dot(normal, normal)
+        best = p - normal * (dot(p - a, normal) / np.where(size > 0, size, 1))
+        inside = size > 0
+        for u, v in ((a, b), (b, c), (c, a)):
+            inside &= dot(np.cross(v - u, best - u), normal) >= 0
+        least = np.where(inside, dot(p - best, p - best), np.inf)
+        for u, v in ((a, b), (b, c), (c, a)):
+            length = dot(v - u, v - u)
+            at = u + (v - u) * np.clip(dot(p - u, v - u) / np.where(length > 0, length, 1), 0, 1)
+            d2 = dot(p - at, p - at)
+            best, least = np.where(~inside & (d2 < least), at, best), np.where(~inside, np.minimum(d2, least), least)
+        yield pa.RecordBatch.from_arrays([batch["point_id"], batch["face_id"], pa.array(least[:, 0]), *(pa.array(q) for q in best.T)],
+                                         names=["point_id", "face_id", "d2", *XYZ])
+
+
 def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> DataFrame:
     """(point_id, face_id, distance, x, y, z): exact nearest surface point.
 
@@ -362,9 +388,10 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
             met = met.where(F.col(g) == K.cell(F.greatest(F.col(c) - width, least), grid))
         # The box distance bounds the triangle distance and is far cheaper to test.
         met = met.where(_box().distance2(V.vec(*XYZ)) <= width * width) if width < reachable else met
-        near = T.closest_on_triangle(V.vec(*XYZ), *corners())
-        best = met.withColumn("_n", near).groupBy("point_id").agg(
-            F.min(F.struct(F.col("_n.d2").alias("d2"), "face_id", F.col("_n.x").alias("x"), F.col("_n.y").alias("y"), F.col("_n.z").alias("z"))).alias("m"))
+        kinds = [f"{c} {met.schema[c].dataType.simpleString()}" for c in ("point_id", "face_id")]
+        near = met.select("point_id", "face_id", *XYZ, *[f"{n}{c}" for n in "abc" for c in XYZ]).mapInArrow(
+            _nearest_on_faces, ", ".join([*kinds, *(f"{c} double" for c in ("d2", *XYZ))]))
+        best = near.groupBy("point_id").agg(F.min(F.struct("d2", "face_id", *XYZ)).alias("m"))
         settled = cut(best.where(F.col("m.d2") <= width * width) if width < reachable else best)
         done = settled if done is None else done.unionByName(settled)
         wanted = cut(wanted.join(settled, "point_id", "left_anti"))

@@ -95,7 +95,7 @@ def supplier_meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return vertices, faces
 
 
-# The twelve triangles of a box whose corner number has bit 0 = x, 1 = y, 2 = z.
+# The twelve triangles of a box whose corner number has bit 0 = x, 1 = y, 2 = z.
 BOX_FACES = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4),
              (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
 
