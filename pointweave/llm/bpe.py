@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import schema_with, sliced, texts_of, with_columns
 
-REMEMBERED = 300_000  # entries of one generation; a Python worker keeps two of them between slices and tasks
+REMEMBERED = 300_000  # entries of one generation; a task keeps two of them between slices
 AT_A_TIME = 20_000  # words in one recursive query
 TEXT_BYTES = 4 << 20  # text encoded at a time
 LONG = 256  # bytes; a longer single word is merged through a heap, as recursion depth is its number of merges
@@ -91,25 +91,34 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
+        self.loaded: set[str] = set()
+
+    def _with_pairs(self) -> None:
+        """The merge table; workers that only decode do without it."""
+        if "pairs" in self.loaded:
+            return
         left, right, made = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(rank << 40 | len(token))
-        pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
-        self._load("pairs", pair=pair, made=np.array(made, np.int64))
+        self._load("pairs", pair=np.array(left, np.int64) << 32 | np.array(right, np.int64), made=np.array(made, np.int64))
+
+    def _with_vocabulary(self) -> None:
         # One character for each byte, because aggregates put strings together, not blobs.
-        self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int64),
-                   piece=[token.decode("latin-1") for token in self.ranks])
+        if "vocabulary" not in self.loaded:
+            self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int64), piece=[t.decode("latin-1") for t in self.ranks])
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("loading", pa.table(columns))
         self.db.sql(f"CREATE TABLE {name} AS SELECT * FROM loading")
         self.db.unregister("loading")
+        self.loaded.add(name)
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word."""
+        self._with_pairs()
         sizes = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -185,6 +194,7 @@ class Codec:
         return [b"".join([packed[p] for p in parts]) for parts in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
+        self._with_vocabulary()
         out: list[bytes] = []
         at = 0
         while at < len(packed):
@@ -206,9 +216,14 @@ class Codec:
         return out
 
 
+    def forget(self) -> None:
+        """Drop the remembered words, so that an idle worker holds the tables only."""
+        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec; it lives as long as the Python worker, so later tasks find its words known."""
+    """The worker's codec, with its tables; they are loaded once for all tasks of a Python worker."""
     return Codec(path, pattern)
 
 
@@ -220,14 +235,26 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     whole; an empty table gives an empty one. Other columns pass through; a column that is already called
     ``ids`` or ``n_tokens`` is refused by name.
     """
-    schema = schema_with(df, ids="binary", n_tokens="bigint")
+    return df.mapInArrow(_coder(path, pattern, text, False), schema_with(df, ids="binary", n_tokens="bigint"))
 
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker and one database."""
+    return df.mapInArrow(_coder(path, pattern, text, True), schema_with(df, ids="binary", n_tokens="bigint", decoded="binary"))
+
+
+def _coder(path: str, pattern: str, text: str, back: bool):
     def run(batches):
-        for batch in sliced(batches, text, TEXT_BYTES):
-            ids = codec(path, pattern).encode(texts_of(batch, text))
-            yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()))
+        held = codec(path, pattern)
+        try:
+            for batch in sliced(batches, text, TEXT_BYTES):
+                ids = held.encode(texts_of(batch, text))
+                more = {"decoded": pa.array(held.decode(ids), pa.binary())} if back else {}
+                yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
+        finally:
+            held.forget()
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -247,6 +274,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = encode_and_decode(docs.select("doc_id", "text"), path, pattern).drop("text")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 4 << 20  # text handled at a time inside a task; one longer text makes a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at a time inside a task; one longer text makes a slice of its own
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 

@@ -54,6 +54,13 @@ def test_rows(docs):
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_two_passes_give_what_one_gives(docs):
+    df = docs(TEXTS)
+    one = {r.doc_id: r for r in bpe.encode_and_decode(df, PATH, P.PATTERN).collect()}
+    two = {r.doc_id: r for r in bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
+    assert one == two and len(one) == len(TEXTS)
+
+
 def test_empty_table_clash_and_unknown_id(docs, spark):
     assert bpe.digests(docs([]), PATH, P.PATTERN).count() == 0
     with pytest.raises(ValueError, match="ids"):
