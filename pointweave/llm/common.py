@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pointweave.session import cut
+
 SLICE_BYTES = 1 << 20  # text handled at a time inside a task; one longer text makes a slice of its own
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,3 +60,17 @@ def schema_with(df: DataFrame, **kinds: str) -> str:
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))
+
+
+def one_of_components(df: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that name their component in the written table ``marked`` (key, component_id).
+
+    Of repeated rows with that key one stays. Rows with a null key cannot be named, so all of them stay.
+    """
+    removed = marked.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    stay = df.join(removed, key, "left_anti").select(*df.columns)
+    repeated = cut(marked.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key))
+    if repeated.isEmpty():
+        return stay
+    several = stay.join(repeated, key, "left_semi").dropDuplicates([key])
+    return stay.join(repeated, key, "left_anti").unionByName(several)

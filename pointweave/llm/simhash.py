@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointweave.llm.common import bytes_of, sliced
+from pointweave.llm.common import bytes_of, one_of_components, sliced
 from pointweave.operators.components import component_roots, contract
 from pointweave.session import cut
 
@@ -212,11 +212,4 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     Of repeated rows with that key one stays. Rows with a null key cannot be named, so all of them stay.
     """
-    marked = cut(near_duplicates(df, text, key))
-    removed = marked.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    stay = df.join(removed, key, "left_anti").select(*df.columns)
-    repeated = cut(marked.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key))
-    if repeated.isEmpty():
-        return stay
-    several = stay.join(repeated, key, "left_semi").dropDuplicates([key])
-    return stay.join(repeated, key, "left_anti").unionByName(several)
+    return one_of_components(df, cut(near_duplicates(df, text, key)), key)
