@@ -89,6 +89,7 @@ def _extended(kind: str):
             offsets = places.offsets.to_numpy()
             flat = places.values.to_numpy()[offsets[0]:offsets[-1]] if len(places) else np.zeros(0, np.int64)
             at = flat + np.repeat(found.first[:-1], np.diff(offsets))
+            at = at[at < np.repeat(found.first[1:], np.diff(offsets))]  # the places may be of another text with this id
             reach = np.zeros(len(found.hash) + 1, np.int64)
             np.add.at(reach, np.maximum(at - WINDOW + 1, found.first[found.text[at]]), 1)
             np.add.at(reach, at + 1, -1)

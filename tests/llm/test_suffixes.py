@@ -63,3 +63,11 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
     assert suffixes.repeats(df.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))).count() == 0
     assert sorted(r.doc_id for r in suffixes.repeats(df.unionByName(again)).collect()) == [0, 2]
     assert suffixes.repeats(docs([])).count() == 0
+
+
+def test_an_id_on_two_texts(docs):
+    long = " ".join(f"w{i}" for i in range(300))
+    df = docs(["a short text", long, long + " end", "a short text"])  # a short one comes last, whatever the order
+    df = df.withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(0)).otherwise(F.lit(2)).cast("long")).coalesce(1)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.repeats(df).collect()}
+    assert got == {0: [(0, 300)], 2: [(0, 300)]}
