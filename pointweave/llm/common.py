@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pointweave.session import cut
 
@@ -74,3 +74,20 @@ def one_of_components(df: DataFrame, marked: DataFrame, key: str) -> DataFrame:
         return stay
     several = stay.join(repeated, key, "left_semi").dropDuplicates([key])
     return stay.join(repeated, key, "left_anti").unionByName(several)
+
+
+def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """Add ``before_<value>``: the sum of that column over all rows in front, in the order of the whole table.
+
+    Rows are range-sorted over the shuffle partitions; each partition adds up its own rows, and the sums of the
+    partitions, one row for each, give every partition its start. ``order`` should tell any two rows apart, so
+    that no key is too frequent to be split. Null values count as zero.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
+    starts = sums.select("__part", *[F.coalesce(F.sum(f"__{v}").over(ahead), F.lit(0)).alias(f"__{v}") for v in values])
+    front = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.col(f"__{v}") + F.coalesce(F.sum(v).over(front), F.lit(0))).alias(f"before_{v}") for v in values]
+    return ranged.join(F.broadcast(starts), "__part").select(*df.columns, *before)

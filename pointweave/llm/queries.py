@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, chat, language, pii, quality, rules, simhash, suffixes, tiling, tokens
+from pointweave.llm import (bpe, chat, divergence, fim, language, mixing, pii, quality, rules, simhash, suffixes, tiling,
+                            tokens)
 from pointweave.llm.common import held_out, table
 from pointweave.session import scratch_root
 
@@ -140,3 +141,79 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+SQL["op11_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), ''))[1:16] AS place FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2 * source_size AS cap,
+    SUM(source_size) OVER () AS words FROM s),
+f AS (SELECT *, SUM(cap) OVER o - cap AS cap_before, SUM(weight) OVER () - SUM(weight) OVER o + weight AS weight_from FROM w
+    WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, 2 * cap * weight_from <= weight * (3 * words - 2 * cap_before) AS is_full FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE
+    CAST(weight * (3 * words - 2 * COALESCE(SUM(cap) FILTER (is_full) OVER (), 0)) AS DOUBLE) / CAST(2 * SUM(weight) FILTER (NOT is_full) OVER () AS DOUBLE) END AS target FROM g),
+p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(FLOOR(t.target) AS BIGINT) AS budget,
+    SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS ahead
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, source_size, target,
+    CAST(epochs * size + GREATEST(0, LEAST(size, budget - epochs * source_size - ahead)) AS BIGINT) AS taken, source FROM q"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_divergence"] = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS doc, COALESCE(text, '') AS t, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents),
+u AS (SELECT doc, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+o AS (SELECT doc, lang, source, term, COUNT(*) AS n FROM u GROUP BY ALL),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING COUNT(*) >= 10),
+c AS (SELECT lang, source, term, SUM(n) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, COUNT(*) AS kept FROM k GROUP BY lang),
+gn AS (SELECT lang, source, SUM(n) AS total FROM c GROUP BY lang, source),
+ln AS (SELECT lang, SUM(n) AS total FROM c GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (COALESCE(c.n, 0) + 2)) // (COALESCE(gn.total, 0) + 2 * v.kept) AS p
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (SUM(n) + 2)) // (ln.total + 2 * v.kept) AS q
+    FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term, ln.total, v.kept),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(SUM(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS value
+    FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+words AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value
+    FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM words))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(back, 256).alias("restored_sha256"))
+
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, length(COALESCE(text, '')) AS n, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || x[8 * i + 1:8 * i + 8] AS BIGINT)) AS h FROM d),
+c AS (SELECT *, LEAST(h[1] % (n + 1), h[2] % (n + 1)) AS a, GREATEST(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""
