@@ -303,22 +303,25 @@ def _covers(px, py, ends) -> Column:
     return crossings % 2 == 1
 
 
-def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, tolerance: float = 1e-9, by: list[str] | None = None) -> DataFrame:
     """(point_id, mesh_id, side, face_id): closed meshes that hold the point, ``inside`` or ``on`` their surface.
 
+    With ``by`` only points and faces that agree in these columns meet.
+
     face_id is a face that a point on the surface lies on, the one with the largest id, and NULL inside.
 
     A point within the tolerance of a face is on the surface. For the others the faces above decide by parity, with
     a rule that counts rays through edges and vertices right, so no point needs a nudge. Rows with an invalid
     position are in no mesh.
     """
+    by = by or []
     points = points.where(F.coalesce(V.is_valid(*[F.col(c) for c in XYZ]), F.lit(False)))
     above = fan_out(placed, "face_id")
     for g, c in zip(CELL[:2], XYZ[:2]):
         ends = [F.col(f"{n}{c}") for n in "abc"]
         above = above.withColumn(g, F.explode(F.sequence(K.cell(F.least(*ends), size), K.cell(F.greatest(*ends), size))))
-    asked = points.select("point_id", *XYZ, *[K.cell(F.col(c), size).alias(g) for c, g in zip(XYZ, CELL)])
-    met = asked.drop("gz").join(above.hint("shuffle_hash"), CELL[:2])
+    asked = points.select("point_id", *by, *XYZ, *[K.cell(F.col(c), size).alias(g) for c, g in zip(XYZ, CELL)])
+    met = asked.drop("gz").join(above.hint("shuffle_hash"), [*by, *CELL[:2]])
     nx, ny, nz = _cross()
     height = F.when(nz != 0, F.col("az") - (nx * (F.col("x") - F.col("ax")) + ny * (F.col("y") - F.col("ay"))) / nz)
     outline = [(F.col(f"{n}x"), F.col(f"{n}y")) for n in "abc"]
@@ -329,7 +332,7 @@ def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, toleran
         ends = [F.col(f"{n}{c}") for n in "abc"]
         touched = touched.withColumn(g, F.explode(F.sequence(
             K.cell(F.least(*ends) - tolerance, size), K.cell(F.greatest(*ends) + tolerance, size))))
-    close = asked.join(touched.hint("shuffle_hash"), CELL).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
+    close = asked.join(touched.hint("shuffle_hash"), [*by, *CELL]).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
     close = close.where(T.closest_on_triangle(V.vec(*XYZ), *corners())["d2"] <= tolerance * tolerance)
     both = odd.select("point_id", "mesh_id", F.lit("inside").alias("side"), F.lit(None).cast("long").alias("face_id")).unionByName(
         close.select("point_id", "mesh_id", F.lit("on").alias("side"), F.col("face_id").cast("long")))
@@ -400,20 +403,22 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
         width *= 2
 
 
-def classify_patches(placed: DataFrame, patches: DataFrame, solid: DataFrame, size: float = 1.0) -> DataFrame:
+def classify_patches(placed: DataFrame, patches: DataFrame, solid: DataFrame, size: float = 1.0, by: list[str] | None = None) -> DataFrame:
     """(patch, side): where the centroid of the patch's largest face lies with regard to the solid.
 
     ``outside``, ``inside``, or on its surface: ``same`` where the two faces look the same way, ``opposite`` where
-    they look at each other. A surface counts before an inside of another mesh of the solid.
+    they look at each other. A surface counts before an inside of another mesh of the solid. With ``by`` a patch meets
+    only faces that agree with its own in these columns.
     """
+    by = by or []
     chosen = largest_face(placed, patches).select("patch", "face_id")
     a, b, c = corners()
     mid = V.scale(V.add(V.add(a, b), c), F.lit(1.0 / 3.0))
     own = [n.alias(k) for n, k in zip(_cross(), ("nx", "ny", "nz"))]
-    probes = cut(placed.join(chosen, "face_id").select(F.col("patch").alias("point_id"), *[m.alias(k) for m, k in zip(mid, XYZ)], *own))
-    held = inside_mesh(probes.select("point_id", *XYZ), solid, size).groupBy("point_id").agg(F.max(F.struct("side", "face_id")).alias("m"))
-    there = solid.select("face_id", *[n.alias(k) for n, k in zip(_cross(), ("mx", "my", "mz"))])
-    both = probes.join(held.select("point_id", "m.side", "m.face_id"), "point_id", "left").join(there, "face_id", "left")
+    probes = cut(placed.join(chosen, "face_id").select(F.col("patch").alias("point_id"), *by, *[m.alias(k) for m, k in zip(mid, XYZ)], *own))
+    held = inside_mesh(probes.select("point_id", *by, *XYZ), solid, size, by=by).groupBy("point_id").agg(F.max(F.struct("side", "face_id")).alias("m"))
+    there = solid.select("face_id", *by, *[n.alias(k) for n, k in zip(_cross(), ("mx", "my", "mz"))])
+    both = probes.join(held.select("point_id", "m.side", "m.face_id"), "point_id", "left").join(there, [*by, "face_id"], "left")
     along = V.dot(V.vec("nx", "ny", "nz"), V.vec("mx", "my", "mz")) > 0
     side = F.when(F.col("side").isNull(), "outside").when(F.col("side") == "inside", "inside").when(along, "same").otherwise("opposite")
     return both.select(F.col("point_id").alias("patch"), side.alias("side"))

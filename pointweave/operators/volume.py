@@ -302,16 +302,20 @@ def directional_crossings(state: DataFrame, size: float) -> DataFrame:
         for i, (c, v) in enumerate(zip(XYZ, VOXEL))], F.col("a.weight").alias("weight"))
 
 
-def carve_free_space(volume: DataFrame, frames: DataFrame, size: float, guard: float = 1.5, least: int = 4) -> DataFrame:
-    """Remove weakly supported voxels that a camera ray passes on its way to the surface."""
+def ray_voxels(frames: DataFrame, size: float, guard: float = 1.5) -> DataFrame:
+    """(voxel, frame_id): the distinct voxels that the camera rays of each frame pass on their way to the surface."""
     step = size * STEP
     df = _view(frames).withColumn("stop", F.col("dist") - size * guard).where(F.col("stop") > step)
     count = F.ceil(F.col("stop") / step) - 1  # samples at step, 2 step, ... below stop
     df = df.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(count, F.lit(1)))))
     t = F.col("i") * step
-    passed = _to_voxels(df, size, V.add(V.vec(*CAMERA), V.scale(V.vec("dx", "dy", "dz"), t)))
+    return _to_voxels(df, size, V.add(V.vec(*CAMERA), V.scale(V.vec("dx", "dy", "dz"), t))).select(*VOXEL, "frame_id").distinct()
+
+
+def carve_free_space(volume: DataFrame, frames: DataFrame, size: float, guard: float = 1.5, least: int = 4) -> DataFrame:
+    """Remove weakly supported voxels that a camera ray passes on its way to the surface."""
     weak = volume.where(F.col("weight") < least).select(*VOXEL)
-    carved = passed.select(*VOXEL).distinct().join(weak, VOXEL)
+    carved = ray_voxels(frames, size, guard).select(*VOXEL).distinct().join(weak, VOXEL)
     return volume.join(carved, VOXEL, "left_anti")
 
 
