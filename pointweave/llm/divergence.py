@@ -53,7 +53,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def rows(held):
         for lang, counts in held.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())],
+                [pa.repeat(pa.scalar(lang, pa.string()), len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
                 names=["lang", "term", "docs"])
 
     def run(batches):
@@ -77,9 +77,8 @@ def _key(lang: bytes, term: bytes) -> bytes:
 
 
 def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [xxhash.xxh3_128_intdigest(k) for k in keys]
-    low = (1 << 64) - 1
-    return np.array([p & low for p in pairs], np.uint64), np.array([p >> 64 for p in pairs], np.uint64)
+    pairs = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<u8").reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _position(h1: np.ndarray, h2: np.ndarray, level: int, size: np.ndarray) -> np.ndarray:
@@ -130,11 +129,12 @@ def shards(kept: DataFrame, n_shards: int) -> DataFrame:
 
 
 class Round:
-    """The shards of one round, ready for lookups."""
+    """The shards of one round, ready for lookups. Slots of the round are numbered anew for each language."""
 
     def __init__(self, rows: pa.Table, n_shards: int):
-        self.n_shards, self.shard = n_shards, rows["shard"].to_numpy()
-        self.index = {int(s): i for i, s in enumerate(self.shard)}
+        self.shard = rows["shard"].to_numpy()
+        self.row = np.full(n_shards, -1)
+        self.row[self.shard] = np.arange(len(self.shard))
         sizes = rows["sizes"].to_pylist()
         self.size = np.zeros((len(sizes), max(map(len, sizes), default=0)), np.int64)
         for i, s in enumerate(sizes):
@@ -145,16 +145,23 @@ class Round:
         self.words = np.frombuffer(b"".join(rows["bits"].to_pylist()), "<u8")  # every level fills whole words
         self.ones = np.r_[0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]
         self.first = self.ones[shard_base >> 6]  # slot of the round at which a shard's slots begin
-        stored = [k for keys in rows["stored"].to_pylist() for k in keys]
-        self.stored = pa.array(stored, pa.binary())
+        self.stored = pa.chunked_array([c.flatten() for c in rows["stored"].chunks], pa.binary()).combine_chunks()
+        langs = pa.chunked_array([c.flatten() for c in rows["langs"].chunks], pa.string()).combine_chunks().dictionary_encode()
+        code = langs.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        ends = np.cumsum(np.bincount(code, minlength=len(langs.dictionary))).astype(int).tolist()
+        #: slots of each language, and the place of every slot among those of its language
+        self.slots = {lang: order[a:z] for lang, a, z in zip(langs.dictionary.to_pylist(), [0, *ends[:-1]], ends)}
+        self.place = np.zeros(len(code), np.int64)
+        for slots in self.slots.values():
+            self.place[slots] = np.arange(len(slots))
 
     def find(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(which keys are in the round, their slots)."""
-        none = np.zeros(0, np.int64)
         if not keys or not len(self.stored):
-            return none, none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h1, h2 = _hashes(keys)
-        row = np.array([self.index.get(s, -1) for s in (h1 % np.uint64(self.n_shards)).tolist()])
+        row = self.row[(h1 % np.uint64(len(self.row))).astype(np.int64)]
         slot = np.full(len(keys), -1)
         open_ = np.flatnonzero(row >= 0)
         for level in range(self.size.shape[1]):
@@ -167,7 +174,7 @@ class Round:
             slot[open_[hit]] = (self.ones[word] + below)[hit]
             open_ = open_[~hit]
         found = np.flatnonzero(slot >= 0)
-        same = pc.equal(self.stored.take(pa.array(slot[found])), pa.array([keys[i] for i in found.tolist()], pa.binary()))
+        same = pc.equal(self.stored.take(pa.array(slot[found])), pa.array(keys, pa.binary()).take(pa.array(found)))
         found = found[same.to_numpy(zero_copy_only=False)]
         return found, slot[found]
 
@@ -176,28 +183,30 @@ def recount(docs: DataFrame, round_) -> DataFrame:
     """(shard, slot, source, n) of the kept terms of a broadcast round; a group's counts may come in several rows."""
 
     def rows(slots, held: Round):
-        for (_, source), n in slots.items():
-            at = np.flatnonzero(n)
+        for (lang, source), n in slots.items():
+            used = np.flatnonzero(n)
+            at = held.slots[lang][used]
             row = np.searchsorted(held.first, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held.shard[row], pa.int32()), pa.array((at - held.first[row]).astype(np.int32)), pa.array([source] * len(at), pa.string()), pa.array(n[at])],
+                [pa.array(held.shard[row], pa.int32()), pa.array((at - held.first[row]).astype(np.int32)), pa.repeat(pa.scalar(source, pa.string()), len(at)), pa.array(n[used])],
                 names=["shard", "slot", "source", "n"])
+        slots.clear()
 
     def run(batches):
         held = round_.value
-        most = max(1, SLOT_BYTES // (8 * max(1, len(held.stored))))
         slots, counts, text_bytes = {}, {}, 0
 
         def settle():
-            for group, counted in counts.items():
-                if group not in slots and len(slots) >= most:
-                    yield from rows(slots, held)
-                    slots.clear()
-                lang, words = group[0].encode(), list(counted)
-                found, at = held.find([_key(lang, w) for w in words])
-                if len(found):
-                    n = slots.setdefault(group, np.zeros(len(held.stored), np.int64))
-                    n[at] += np.fromiter((counted[words[i]] for i in found.tolist()), np.int64, len(found))
+            for (lang, source), counted in counts.items():
+                raw = lang.encode()
+                found, slot = held.find([_key(raw, w) for w in counted])
+                if not len(found):
+                    continue
+                if (lang, source) not in slots:
+                    if 8 * (sum(map(len, slots.values())) + len(held.slots[lang])) > SLOT_BYTES:
+                        yield from rows(slots, held)
+                    slots[lang, source] = np.zeros(len(held.slots[lang]), np.int64)
+                slots[lang, source][held.place[slot]] += np.fromiter(counted.values(), np.int64, len(counted))[found]
             counts.clear()
 
         for batch in sliced(batches, "text"):
@@ -222,7 +231,7 @@ def kept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = held.select("shard", F.posexplode("keys").alias("slot", "key")).select("shard", "slot", "key.*")
     counts = None
     for start in range(0, n_shards, ROUND):
-        rows = held.where(F.col("shard").between(start, start + ROUND - 1)).select("shard", "sizes", "bits", "stored").orderBy("shard").toArrow()
+        rows = held.where(F.col("shard").between(start, start + ROUND - 1)).select("shard", "sizes", "bits", "stored", F.col("keys.lang").alias("langs")).orderBy("shard").toArrow()
         given = spark.sparkContext.broadcast(Round(rows, n_shards))
         part = cut(recount(docs, given).groupBy("shard", "slot", "source").agg(F.sum("n").alias("n")))
         given.destroy()
@@ -286,23 +295,22 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = docs.select("lang", "source").distinct().withColumn("number", (F.row_number().over(by_source) - 1).cast("long"))
     kept = keys.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    stats = groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0, ["total", "kept"])
+    of_lang = groups.join(totals, ["lang", "source"], "left").groupBy("lang").agg(F.sum("total").alias("lang_total"), F.floor(F.max("number") / BLOCK).alias("last"))
+    stats = groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").join(of_lang, "lang").na.fill(0, ["total", "kept", "lang_total"])
     stats = cut(stats.withColumn("absent", F.coalesce(_share(F.lit(0), F.col("total"), F.col("kept")), F.lit(1)).cast("long")))
 
     shared = cut(entries.join(stats, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")).cast("long")))
-    of_lang = entries.groupBy("lang").agg(F.sum("n").alias("lang_total"))
     of_term = entries.groupBy("shard", "slot").agg(F.sum("n").alias("lang_n"))
     q = _share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).cast("long")
-    ahead = shared.join(of_term, ["shard", "slot"]).join(of_lang, "lang").withColumn("q", q).where("p > q")
+    ahead = shared.join(of_term, ["shard", "slot"]).withColumn("q", q).where("p > q")
     terms_ = ahead.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div (p + q)").alias("value"))
 
     per_shard = keys.groupBy("lang", "shard").agg(F.count("*").alias("terms"))
-    named = stats.select("lang", "number", F.col("absent").alias("p")).join(per_shard, "lang", "left").select(
-        "lang", F.coalesce("shard", F.lit(-1)).alias("shard"), "number", F.lit(None).cast("int").alias("slot"), "p", F.coalesce("terms", F.lit(0)).alias("terms"))
-    rows = named.unionByName(shared.select("lang", "shard", "number", "slot", "p", F.lit(None).cast("long").alias("terms")))
-    last = stats.groupBy("lang").agg(F.floor(F.max("number") / BLOCK).alias("last"))
+    named = stats.select("lang", "number", "last", F.col("absent").alias("p")).join(per_shard, "lang", "left").select(
+        "lang", F.coalesce("shard", F.lit(-1)).alias("shard"), "number", "last", F.lit(None).cast("int").alias("slot"), "p", F.coalesce("terms", F.lit(0)).alias("terms"))
+    rows = named.unionByName(shared.select("lang", "shard", "number", "last", "slot", "p", F.lit(None).cast("long").alias("terms")))
     own = F.floor(F.col("number") / BLOCK)
-    facing = rows.join(last, "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select(
+    facing = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select(
         "lang", "shard", "number", "slot", "p", "terms", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"))
     sums = facing.groupBy("lang", "shard", "low", "high").applyInArrow(_blocks(BLOCK), "lang string, a bigint, b bigint, value bigint")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

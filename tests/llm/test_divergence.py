@@ -95,8 +95,8 @@ def test_perfect_hashes_find_their_keys_and_no_other(keys, others):
         if own:
             sizes, bits, order = D.build(*D._hashes(own))
             assert sorted(order.tolist()) == list(range(len(own)))
-            rows.append({"shard": shard, "sizes": sizes, "bits": np.packbits(bits, bitorder="little").tobytes(), "stored": [own[i] for i in order]})
-    kind = pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("stored", pa.list_(pa.binary()))])
+            rows.append({"shard": shard, "sizes": sizes, "bits": np.packbits(bits, bitorder="little").tobytes(), "stored": [own[i] for i in order], "langs": ["en"] * len(own)})
+    kind = pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("stored", pa.list_(pa.binary())), ("langs", pa.list_(pa.string()))])
     held = D.Round(pa.Table.from_pylist(rows, kind), n_shards)
     asked = [D._key(b"en", k) for k in sorted(keys | others)]
     found, slot = held.find(asked)
