@@ -13,6 +13,7 @@ import queries.grids  # noqa: F401
 import queries.meshes  # noqa: F401
 import queries.neighborhoods  # noqa: F401
 import queries.solids  # noqa: F401
+import queries.surfaces  # noqa: F401
 import queries.volumes  # noqa: F401
 
 HEADLINE = [

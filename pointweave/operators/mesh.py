@@ -6,8 +6,11 @@ into one task: edges, loops, patches and paths are joins and groupings.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointweave.functions import boxes as B, keys as K, triangles as T, vector as V
@@ -181,46 +184,99 @@ def split_by_seam(placed: DataFrame, faces: DataFrame, seams: DataFrame) -> Data
     return areas.join(least, "mesh_id").select("mesh_id", "patch", "area", (F.col("patch") == F.col("p")).alias("is_small"))
 
 
-def validate(placed: DataFrame, short: float = 1e-6) -> DataFrame:
-    """(mesh_id, check, n): violations of each soup check."""
+def _violations(placed: DataFrame, short: float) -> DataFrame:
+    """(mesh_id, measure, ..): partial counts in one row shape, to be summed by mesh."""
     faces = placed.select("mesh_id", "face_id", "v0", "v1", "v2")
     bad = F.col("v0").eqNullSafe(F.col("v1")) | F.col("v1").eqNullSafe(F.col("v2")) | F.col("v0").eqNullSafe(F.col("v2"))
     flat = V.length2(_cross()) < 1e-10
     a, b, c = corners()
     brief = (V.distance(a, b) < short) | (V.distance(b, c) < short) | (V.distance(c, a) < short)
+    number = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
     per_face = placed.groupBy("mesh_id").agg(
-        F.sum(F.when(bad | flat, 1).otherwise(0)).alias("degenerate"), F.sum(F.when(brief, 1).otherwise(0)).alias("short_edges"))
-    triple = F.array_sort(F.array("v0", "v1", "v2"))
-    copies = faces.groupBy("mesh_id", triple.alias("t")).count().groupBy("mesh_id").agg(F.sum(F.col("count") - 1).alias("duplicate"))
+        number(bad | flat).alias("degenerate"), number(brief).alias("short_edges"), F.count("*").alias("faces"),
+        (F.sum(V.dot(a, V.cross(b, c))) / 6.0).alias("volume"), F.sum(T.triangle_area(a, b, c)).alias("area"))
+    copies = faces.groupBy("mesh_id", F.array_sort(F.array("v0", "v1", "v2")).alias("t")).count().groupBy("mesh_id").agg(
+        F.sum(F.col("count") - 1).alias("duplicate"))
     edges = edge_valence(faces).groupBy("mesh_id").agg(
-        F.sum(F.when(F.col("valence") == 1, 1).otherwise(0)).alias("boundary"),
-        F.sum(F.when(F.col("valence") > 2, 1).otherwise(0)).alias("non_manifold"))
-    wide = per_face.join(copies, "mesh_id").join(edges, "mesh_id").join(
-        fan_counts(faces).where("fans > 1").groupBy("mesh_id").agg(F.count("*").alias("bow_tie")), "mesh_id", "left").na.fill(0)
+        F.count("*").alias("edges"), number(F.col("valence") == 1).alias("boundary"), number(F.col("valence") > 2).alias("non_manifold"))
+    fans = fan_counts(faces).groupBy("mesh_id").agg(F.count("*").alias("used"), number(F.col("fans") > 1).alias("bow_tie"))
+    return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (per_face, copies, edges, fans))
+
+
+def _by_mesh(parts: DataFrame) -> DataFrame:
+    """One row per mesh of sums over the rows that hold a measure."""
+    return parts.groupBy("mesh_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns if c != "mesh_id"])
+
+
+def validate(placed: DataFrame, short: float = 1e-6) -> DataFrame:
+    """(mesh_id, check, n): violations of each soup check."""
     names = ["degenerate", "short_edges", "duplicate", "boundary", "non_manifold", "bow_tie"]
-    return wide.unpivot("mesh_id", names, "check", "n")
+    return _by_mesh(_violations(cut(placed), short)).unpivot("mesh_id", names, "check", "n")
+
+
+def near_pairs(vertices: DataFrame, faces: DataFrame, distance: float) -> DataFrame:
+    """(mesh_id, v0, v1, distance): pairs of a mesh's vertices closer than ``distance`` that no edge joins, v0 < v1.
+
+    Vertices in one place are pairs of distance zero. Equal cells of side ``distance`` meet their neighbours; a vertex is sent to the
+    fourteen cells that see each pair once.
+    """
+    placed = vertices.select("mesh_id", "vertex_id", *XYZ, *[K.cell(F.col(c), distance).alias(g) for c, g in zip(XYZ, CELL)])
+    ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    moves = F.explode(F.array(*[F.struct(*[(F.col(g) + m).alias(g) for g, m in zip(CELL, move)], F.lit(move == (0, 0, 0)).alias("own")) for move in ahead]))
+    sent = placed.select("mesh_id", F.col("vertex_id").alias("v0"), *[F.col(c).alias(f"a{c}") for c in XYZ], moves.alias("m")).select("mesh_id", "v0", "ax", "ay", "az", "m.*")
+    met = sent.join(placed.hint("shuffle_hash"), ["mesh_id", *CELL]).where(~F.col("own") | (F.col("v0") < F.col("vertex_id")))
+    far = V.distance(V.vec("ax", "ay", "az"), V.vec(*XYZ))
+    near = met.where(far < distance).select("mesh_id", F.least("v0", "vertex_id").alias("a"), F.greatest("v0", "vertex_id").alias("b"), far.alias("distance"))
+    return near.join(edge_valence(faces), ["mesh_id", "a", "b"], "left_anti").select("mesh_id", F.col("a").alias("v0"), F.col("b").alias("v1"), "distance")
+
+
+MANY = 4096  # faces at a vertex from which its fans are found by components over all tasks
+
+
+def _link_parts(batches):
+    """Number of connected parts of each row's links: the faces at a vertex, as edges between the other two corners."""
+    for batch in batches:
+        links = batch["links"]
+        sizes = np.diff(links.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.stack([pa.compute.struct_field(links.flatten(), c).to_numpy() for c in ("p", "q")])
+        nodes, flat = np.unique(np.stack([np.tile(row, 2), ends.ravel()]), axis=1, return_inverse=True)
+        flat = flat.reshape(2, -1)
+        joined, _ = C.contract(flat[0], flat[1])
+        parts = np.bincount(nodes[0], minlength=len(sizes)) - np.bincount(nodes[0][joined], minlength=len(sizes))
+        yield pa.RecordBatch.from_arrays([batch["mesh_id"], batch["vertex_id"], pa.array(parts, pa.int64())], names=["mesh_id", "vertex_id", "fans"])
 
 
 def fan_counts(faces: DataFrame) -> DataFrame:
-    """(mesh_id, vertex_id, fans): fans of faces joined over edges around each vertex, open or closed."""
-    return corner_fans(faces).groupBy("mesh_id", "vertex_id").agg(F.count_distinct("fan").alias("fans"))
+    """(mesh_id, vertex_id, fans): fans of faces joined over edges around each vertex, open or closed.
+
+    The faces at one vertex come together in a row; a vertex with more than ``MANY`` is left to components instead.
+    """
+    slots = F.array(*[F.struct(F.col(f"v{i}").alias("vertex_id"), F.col(f"v{(i + 1) % 3}").alias("p"), F.col(f"v{(i + 2) % 3}").alias("q")) for i in range(3)])
+    rows = faces.select("mesh_id", F.explode(slots).alias("s")).select("mesh_id", "s.*")
+    crowded = cut(rows.groupBy("vertex_id").count().where(F.col("count") > MANY).select("vertex_id"))
+    kind = f"mesh_id {faces.schema['mesh_id'].dataType.simpleString()}, vertex_id {faces.schema['v0'].dataType.simpleString()}, fans bigint"
+    if crowded.isEmpty():
+        return rows.groupBy("mesh_id", "vertex_id").agg(F.collect_list(F.struct("p", "q")).alias("links")).mapInArrow(_link_parts, kind)
+    few = rows.join(crowded, "vertex_id", "left_anti").groupBy("mesh_id", "vertex_id").agg(F.collect_list(F.struct("p", "q")).alias("links")).mapInArrow(_link_parts, kind)
+    at = rows.join(crowded, "vertex_id", "left_semi").select(F.explode(F.array("vertex_id", "p", "q")).alias("v0")).distinct()
+    near = faces.where("v0 is not null").join(at, "v0", "left_semi")
+    rest = corner_fans(near).join(crowded, "vertex_id", "left_semi").groupBy("mesh_id", "vertex_id").agg(F.count_distinct("fan").alias("fans"))
+    return few.unionByName(rest)
 
 
 def diagnostics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """One row of counts per mesh, with signed volume and a watertight flag."""
-    placed = with_corners(vertices, faces)
-    shape = measures(placed, ["mesh_id"])
-    checks = validate(placed).groupBy("mesh_id").pivot("check", ["degenerate", "duplicate", "boundary", "non_manifold", "bow_tie"]).agg(
-        F.first("n"))
-    edges = edge_valence(faces).groupBy("mesh_id").agg(F.count("*").alias("edges"))
-    used = faces.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct()
-    loose = vertices.join(used.select("vertex_id"), "vertex_id", "left_anti").groupBy("mesh_id").agg(F.count("*").alias("isolated"))
+    """One row of counts per mesh, with signed volume and a watertight flag.
+
+    Faces with corners are written once. Every measure folds to one row per mesh before they meet in one last grouping; isolated vertices are those
+    beyond the ones that faces use.
+    """
+    placed = cut(with_corners(vertices, faces))
     sizes = vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"))
-    counts = faces.groupBy("mesh_id").agg(F.count("*").alias("faces"))
-    out = sizes.join(counts, "mesh_id").join(edges, "mesh_id").join(checks, "mesh_id").join(shape, "mesh_id").join(
-        loose, "mesh_id", "left").na.fill(0, ["isolated"])
+    out = _by_mesh(_violations(placed, 1e-6).unionByName(sizes, allowMissingColumns=True)).where("faces > 0")
     sound = (F.col("boundary") == 0) & (F.col("bow_tie") == 0) & (F.col("degenerate") == 0)
-    return out.withColumn("watertight", sound)
+    return out.select("mesh_id", "vertices", "faces", "edges", "degenerate", "duplicate", "boundary", "non_manifold", "bow_tie", "volume", "area",
+                      (F.col("vertices") - F.col("used")).alias("isolated"), sound.alias("watertight"))
 
 
 # Joins with faces --------------------------------------------------------------------------
@@ -333,15 +389,18 @@ def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, toleran
         touched = touched.withColumn(g, F.explode(F.sequence(
             K.cell(F.least(*ends) - tolerance, size), K.cell(F.greatest(*ends) + tolerance, size))))
     close = asked.join(touched.hint("shuffle_hash"), [*by, *CELL]).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
-    close = close.where(T.closest_on_triangle(V.vec(*XYZ), *corners())["d2"] <= tolerance * tolerance)
+    keep = ("point_id", "mesh_id", "face_id")
+    kinds = [f"{c} {close.schema[c].dataType.simpleString()}" for c in keep]
+    close = close.select(*keep, *XYZ, *[f"{n}{c}" for n in "abc" for c in XYZ]).mapInArrow(
+        lambda batches: _nearest_on_faces(batches, keep), ", ".join([*kinds, *(f"{c} double" for c in ("d2", *XYZ))])).where(F.col("d2") <= tolerance * tolerance)
     both = odd.select("point_id", "mesh_id", F.lit("inside").alias("side"), F.lit(None).cast("long").alias("face_id")).unionByName(
         close.select("point_id", "mesh_id", F.lit("on").alias("side"), F.col("face_id").cast("long")))
     return both.groupBy("point_id", "mesh_id").agg(F.max(F.struct("side", "face_id")).alias("m")).select(
         "point_id", "mesh_id", "m.side", "m.face_id")
 
 
-def _nearest_on_faces(batches):
-    """Nearest point of the triangle in each row, for whole batches at once.
+def _nearest_on_faces(batches, keep=("point_id", "face_id")):
+    """Nearest point of the triangle in each row, for whole batches at once, behind the columns to keep.
 
     As a column the formula repeats its parts so often that it is not compiled.
     """
@@ -360,8 +419,7 @@ def _nearest_on_faces(batches):
             at = u + (v - u) * np.clip(dot(p - u, v - u) / np.where(length > 0, length, 1), 0, 1)
             d2 = dot(p - at, p - at)
             best, least = np.where(~inside & (d2 < least), at, best), np.where(~inside, np.minimum(d2, least), least)
-        yield pa.RecordBatch.from_arrays([batch["point_id"], batch["face_id"], pa.array(least[:, 0]), *(pa.array(q) for q in best.T)],
-                                         names=["point_id", "face_id", "d2", *XYZ])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(least[:, 0]), *(pa.array(q) for q in best.T)], names=[*keep, "d2", *XYZ])
 
 
 def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> DataFrame:

@@ -32,9 +32,14 @@ def best_rigid(pairs: DataFrame) -> np.ndarray:
     return motion
 
 
-def register(source: DataFrame, target: DataFrame, rounds: int = 10, tolerance: float = 1e-10) -> tuple[np.ndarray, DataFrame]:
+REACH, ROUNDS = 0.1, 50  # fixed values: farthest correspondence, and rounds
+
+
+def register(source: DataFrame, target: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-10, reach: float = REACH) -> tuple[np.ndarray, DataFrame]:
     """(motion, moved source): iterated closest points until the motion of a round is below the tolerance.
 
+    Points whose nearest target is farther than ``reach`` have no say in a round; without any pair the motion ends.
+
     Copies of a position are matched once and weigh as many. Rows without a valid position do not take part in the
     fit; their coordinates become NULL or NaN as the motion makes them.
     """
@@ -42,7 +47,7 @@ def register(source: DataFrame, target: DataFrame, rounds: int = 10, tolerance:
     for _ in range(rounds):
         moved = _moved(source, motion)
         sites, nearest = nearest_sites(target, 1, moved)
-        pairs = nearest.join(sites.table.select("site", F.col("n").cast("double").alias("w")), "site")
+        pairs = nearest.where(F.col("d2") <= reach * reach).join(sites.table.select("site", F.col("n").cast("double").alias("w")), "site")
         step = best_rigid(pairs)
         motion = step @ motion
         if np.abs(step - np.eye(4)).max() < tolerance:

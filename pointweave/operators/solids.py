@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pointweave.functions import keys as K, vector as V
 from pointweave.operators import components as C, mesh as M
 from pointweave.operators.clustering import dense_numbers
+from pointweave.operators.exact import GRID, Triangulation
 from pointweave.operators.neighbors import CELL
 from pointweave.operators.sites import XYZ
 from pointweave.session import cut, fan_out
@@ -32,7 +33,6 @@ VERTEX, EDGE, FACE = range(3)  # what part of its face a point lies on
 CROSSING, ON_LEFT, ON_RIGHT = range(3)  # a segment cuts both faces, or the side of one lies in the plane of the other
 EPS = 1e-9  # relative to the size of the two faces
 CROWD = 2000  # faces that a face may meet before its mesh is quartered
-GRID = 1 << 40  # steps along a side of a face in the exact triangulation
 
 
 # Contacts of two faces ----------------------------------------------------------------------
@@ -221,97 +221,6 @@ def intersection_loops(met: DataFrame) -> DataFrame:
 # Refinement of faces ------------------------------------------------------------------------
 
 
-class Triangulation:
-    """Constrained triangulation of one triangle; places are whole numbers, so every test is exact."""
-
-    def __init__(self, corners):
-        self.at = list(corners)
-        self.apex: dict[tuple[int, int], int] = {}
-        self.fixed: set[tuple[int, int]] = set()
-        self._add(0, 1, 2)
-
-    def _add(self, a, b, c):
-        for u, v, w in ((a, b, c), (b, c, a), (c, a, b)):
-            self.apex[u, v] = w
-
-    def _drop(self, a, b, c):
-        for u, v in ((a, b), (b, c), (c, a)):
-            del self.apex[u, v]
-
-    def turn(self, a, b, c) -> int:
-        (ax, ay), (bx, by), (cx, cy) = self.at[a], self.at[b], self.at[c]
-        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-
-    def insert(self, place) -> int:
-        """Number of a point inside the triangle or on its sides; a place that is taken keeps its number."""
-        if place in self.at:
-            return self.at.index(place)
-        n = len(self.at)
-        self.at.append(place)
-        for (a, b), c in list(self.apex.items()):
-            turns = self.turn(a, b, n), self.turn(b, c, n), self.turn(c, a, n)
-            if min(turns) < 0:
-                continue
-            if min(turns) > 0:
-                self._drop(a, b, c)
-                self._add(a, b, n), self._add(b, c, n), self._add(c, a, n)
-            else:
-                self._split(*((a, b), (b, c), (c, a))[turns.index(0)], n)
-            return n
-        raise ValueError("a point lies outside its face")
-
-    def _split(self, u, v, n):
-        for a, b in ((u, v), (v, u)):
-            if (a, b) in self.apex:
-                c = self.apex[a, b]
-                self._drop(a, b, c)
-                self._add(a, n, c), self._add(n, b, c)
-            if (a, b) in self.fixed:
-                self.fixed.remove((a, b))
-                self.fixed |= {(a, n), (n, b)}
-
-    def constrain(self, a, b):
-        """Make a-b an edge, or edges through the points that lie on it."""
-        if a == b:
-            return
-        if (a, b) in self.apex or (b, a) in self.apex:
-            self.fixed |= {(a, b), (b, a)}
-            return
-        between = [n for n in range(len(self.at)) if n not in (a, b) and self.turn(a, b, n) == 0 and self._within(a, b, n)]
-        if between:
-            n = min(between, key=lambda n: abs(self.at[n][0] - self.at[a][0]) + abs(self.at[n][1] - self.at[a][1]))
-            self.constrain(a, n)
-            self.constrain(n, b)
-            return
-        crossing = [(u, v) for u, v in self.apex if u < v and self._crosses(a, b, u, v)]
-        while crossing:
-            u, v = crossing.pop(0)
-            if (u, v) in self.fixed:
-                raise ValueError("constraints of a face cross")
-            c, d = self.apex[u, v], self.apex[v, u]
-            if self.turn(c, d, v) <= 0 or self.turn(d, c, u) <= 0:  # not convex: another diagonal goes first
-                crossing.append((u, v))
-                continue
-            self._drop(u, v, c), self._drop(v, u, d)
-            self._add(c, d, v), self._add(d, c, u)
-            if {c, d} != {a, b} and self._crosses(a, b, c, d):
-                crossing.append((min(c, d), max(c, d)))
-        self.fixed |= {(a, b), (b, a)}
-
-    def _within(self, a, b, n) -> bool:
-        (ax, ay), (bx, by), (x, y) = self.at[a], self.at[b], self.at[n]
-        return (x - ax) * (x - bx) + (y - ay) * (y - by) < 0
-
-    def _crosses(self, a, b, u, v) -> bool:
-        if {u, v} & {a, b}:
-            return False
-        s, t = self.turn(a, b, u), self.turn(a, b, v)
-        return (s > 0 > t or s < 0 < t) and (self.turn(u, v, a) > 0) != (self.turn(u, v, b) > 0)
-
-    def triangles(self):
-        return [(a, b, c) for (a, b), c in self.apex.items() if a < b and a < c]
-
-
 def _cut_face(corners, names, points, segments):
     """(names, seam flags of the sides) of the triangles of one face.
 

@@ -419,11 +419,11 @@ def j18(spark, sf):
     return tidy(A.depth_lookup(p, A.depth_raster(p.where("cloud_id = 2"), 1.5), 1.5).select("point_id", "depth"))
 
 
-@query("v16_occupancy_map", f"""WITH {LI}, p AS (SELECT DISTINCT {cell('x', 0.25)} AS ix, {cell('y', 0.25)} AS iy FROM li)
+@query("v16_occupancy_map", f"""WITH {LI}, p AS (SELECT DISTINCT {cell('x', 1.0)} AS ix, {cell('y', 1.0)} AS iy FROM li)
 SELECT ix, iy FROM p WHERE EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix+1 AND q.iy=p.iy) AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix-1 AND q.iy=p.iy)
  AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix AND q.iy=p.iy+1) AND EXISTS (SELECT 1 FROM p q WHERE q.ix=p.ix AND q.iy=p.iy-1)""")
 def v16(spark, sf):
-    r_ = A.depth_raster(lineitem_points(spark, sf), 0.25)
+    r_ = A.depth_raster(lineitem_points(spark, sf), 1.0)
     return A.erode_pixels(r_.select("ix", "iy"))
 
 

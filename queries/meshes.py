@@ -230,7 +230,15 @@ def j13(spark, sf):
     return tidy(M.closest_on_surface(p, M.with_corners(*part_boxes(spark, sf)), 1.0).select("point_id", "distance"))
 
 
-@query("m13_patch_classes")
+# The faces of a box in the order of the mesh lie on z = 0, z = sz, y = 0, y = sy, x = 0 and x = sx; a closed box is one patch, and its largest face, the
+# first of equals, stands for it. The centroid of a triangle has a third or two thirds of each side length.
+@query("m13_patch_classes", f"""WITH {BOX}, c AS (SELECT CAST(k AS BIGINT) AS k, UNNEST([0, 2, 3, 0, 3, 1, 4, 5, 7, 4, 7, 6, 0, 1, 5, 0, 5, 4, 2, 6, 7, 2, 7, 3, 0, 4, 6, 0, 6, 2, 1, 3, 7, 1, 7, 5][3*k+1:3*k+3]) AS v FROM range(12) t(k)),
+m AS (SELECT k, CAST(SUM(v & 1) AS DOUBLE) / 3 AS fx, CAST(SUM((v >> 1) & 1) AS DOUBLE) / 3 AS fy, CAST(SUM(v >> 2) AS DOUBLE) / 3 AS fz FROM c GROUP BY k),
+f AS (SELECT b.*, k, fx * sx AS x, fy * sy AS y, fz * sz AS z, CASE WHEN k < 4 THEN sx*sy WHEN k < 8 THEN sx*sz ELSE sy*sz END AS area FROM b, m),
+p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY mesh_id ORDER BY ROUND(area, 9) DESC, k) AS place FROM f),
+o AS (SELECT p.mesh_id, p.x0 + p.x AS x, p.y, p.z FROM p WHERE place = 1)
+SELECT o.mesh_id * 12 AS patch, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.mesh_id BETWEEN o.mesh_id - 2 AND o.mesh_id + 1 AND o.x BETWEEN b.x0 + {lit(0.41)} AND b.x0 + b.sx + {lit(0.41)}
+ AND o.y BETWEEN {lit(0.013)} AND b.sy + {lit(0.013)} AND o.z BETWEEN {lit(0.013)} AND b.sz + {lit(0.013)}) THEN 'inside' ELSE 'outside' END AS side FROM o""")
 def m13(spark, sf):
     v, f = part_boxes(spark, sf)
     placed = M.with_corners(v, f)

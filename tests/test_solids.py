@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import mesh as M, solids as S
+from pointweave.operators import exact as X, mesh as M, solids as S
 from pointweave.sources.tables import boxes
 from queries.solids import shape
 
@@ -92,16 +92,16 @@ def test_empty_and_distant_operands(spark):
 def test_triangulations_keep_their_constraints_and_area():
     rng = random.Random(2)
     for _ in range(60):
-        t = S.Triangulation([(0, 0), (S.GRID, 0), (0, S.GRID)])
+        t = X.Triangulation([(0, 0), (X.GRID, 0), (0, X.GRID)])
         points = []
         for _ in range(rng.randint(1, 25)):
-            x = rng.randrange(1, S.GRID - 1)
-            points.append(t.insert((x, rng.randrange(1, S.GRID - x))))
+            x = rng.randrange(1, X.GRID - 1)
+            points.append(t.insert((x, rng.randrange(1, X.GRID - x))))
         order = sorted(set(points), key=lambda n: t.at[n])
         chain = list(zip(order, order[1:]))  # by ascending x, so no two cross
         for a, b in chain:
             t.constrain(a, b)
         tris = t.triangles()
-        assert sum(t.turn(*x) for x in tris) == S.GRID ** 2 and all(t.turn(*x) > 0 for x in tris)
+        assert sum(t.turn(*x) for x in tris) == X.GRID ** 2 and all(t.turn(*x) > 0 for x in tris)
         assert all((a, b) in t.apex or (b, a) in t.apex for a, b in chain)
         assert len(tris) == 2 * len(t.at) - 2 - 3
