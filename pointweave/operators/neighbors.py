@@ -17,18 +17,33 @@ HOT_ROWS = 50_000  # candidates of a cell that one task builds; a fuller cell is
 CELL = ["gx", "gy", "gz"]
 
 
-def overlapping_cells(df: DataFrame, reach: Column, size: Column, origin=(0.0, 0.0, 0.0)) -> DataFrame:
-    """One row per grid cell that the ball of radius ``reach`` around (x, y, z) touches."""
+def overlapping_cells(df: DataFrame, reach: Column, size: Column, origin=(0.0, 0.0, 0.0), last: Column | None = None) -> DataFrame:
+    """One row per grid cell that the ball of radius ``reach`` around (x, y, z) touches.
+
+    With ``last`` cells are numbered 0 to ``last`` along each axis, and the outer ones have no end.
+    """
     wide = reach * (1.0 + SLACK)
     for name, axis, o in zip(CELL, XYZ, origin):
-        low, high = K.cell(F.col(axis) - wide, size, o), K.cell(F.col(axis) + wide, size, o)
+        if last is None:
+            low, high = K.cell(F.col(axis) - wide, size, o), K.cell(F.col(axis) + wide, size, o)
+        else:
+            low, high = (_held((e - o) / size, last) for e in (F.col(axis) - wide, F.col(axis) + wide))
         df = df.withColumn(name, F.explode(F.sequence(low, high)))
     corner = tuple(F.col(g) * size + o for g, o in zip(CELL, origin))
-    box = Box(corner, tuple(c + size for c in corner))
+    ends = tuple(c + size for c in corner)
+    if last is not None:
+        corner = tuple(F.when(F.col(g) == 0, F.lit(-math.inf)).otherwise(c) for g, c in zip(CELL, corner))
+        ends = tuple(F.when(F.col(g) == last, F.lit(math.inf)).otherwise(c) for g, c in zip(CELL, ends))
+    box = Box(corner, ends)
     fuzz = wide + size * SLACK
     return df.where(box.distance2(V.vec(*XYZ)) <= fuzz * fuzz)
 
 
+def _held(place, last) -> Column:
+    """Whole cell number from 0 to ``last``; places beyond count to the outer cells."""
+    return F.greatest(F.lit(0.0), F.least(F.floor(place).cast("double"), (last if isinstance(last, Column) else F.lit(last)).cast("double"))).cast("long")
+
+
 def hot_cells(celled: DataFrame) -> DataFrame | None:
     """Cells of more than ``HOT_ROWS`` rows, with the number of splits each needs to keep to it.
 
@@ -137,15 +152,19 @@ TOP = 40  # level of the single cell that covers everything
 RADII = [1.7320508075688774 * (1.19 ** -i) for i in range(24)]  # trial radii, in cell sides
 
 
+STRAYS = 100  # points along each end of each axis that may lie outside the grid
+WIDE = 1 << 16  # times the middle nine tenths of a cloud at which its ends are looked at for strays
+
+
 class _Pyramid:
-    """Grid levels whose cell side doubles; level 0 is extent / 2^40."""
+    """Grid levels whose cell side doubles; level 0 is extent / 2^40. Outer cells reach on without end."""
 
     def __init__(self, low, extent: float):
         self.low = low
         self.base = (extent if extent > 0 else 1.0) * 1.0000001 / 2.0**TOP
 
     def finest(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *[K.cell(F.col(c), self.base, o).alias(f"f{c}") for c, o in zip(XYZ, self.low)])
+        return df.select("*", *[_held((F.col(c) - o) / self.base, (1 << TOP) - 1).alias(f"f{c}") for c, o in zip(XYZ, self.low)])
 
     def at(self, level) -> list[Column]:
         return [F.expr(f"shiftright(f{c}, {level})").alias(g) for c, g in zip(XYZ, CELL)]
@@ -153,6 +172,27 @@ class _Pyramid:
     def side(self, level: Column) -> Column:
         return F.lit(self.base) * F.pow(F.lit(2.0), level)
 
+    @staticmethod
+    def last(level: Column) -> Column:
+        return F.when(level >= TOP, F.lit(0).cast("long")).otherwise((F.pow(F.lit(2.0), F.lit(TOP) - level) - 1).cast("long"))
+
+
+def _core(table: DataFrame, low: list[float], extent: float) -> tuple[list[float], float]:
+    """Corner and side of the grid: of the whole cloud, or of what is left without strays and as much again on all sides.
+
+    A few points very far away would leave the rest of the cloud in one cell. They are found by the ``STRAYS`` smallest and largest coordinates,
+    so at most six times as many points lie outside; their neighbours are searched everywhere.
+    """
+    middle = table.agg(*[F.percentile_approx(c, [0.05, 0.95]).alias(c) for c in XYZ]).first()
+    if extent <= WIDE * max(b - a for a, b in middle):
+        return low, extent
+    ends = []
+    for c in XYZ:
+        first, last = (table.select(c).orderBy(o).limit(STRAYS + 1).agg(f(c)).first()[0] for o, f in ((F.col(c).asc(), F.max), (F.col(c).desc(), F.min)))
+        ends.append((min(first, last), max(first, last)))
+    size = max(b - a for a, b in ends)
+    return [a - size for a, _ in ends], 3.0 * size
+
 
 def _choose_levels(sites: DataFrame, grid: _Pyramid, rows: int, k: int) -> DataFrame:
     """Table (own, gx, gy, gz, level): the level at which the sites of a cell search.
@@ -234,7 +274,9 @@ def nearest_sites(points: DataFrame, k: int, queries: DataFrame | None = None):
         return asked, empty.select("*", *cols)
     low = [min(s[f"min_{c}"], t[f"min_{c}"]) for c in XYZ]
     extent = max(max(s[f"max_{c}"], t[f"max_{c}"]) - o for c, o in zip(XYZ, low))
-    grid = _Pyramid(low, extent)
+    low, side0 = _core(found.table, low, extent)
+    strays = side0 < extent
+    grid = _Pyramid(low, side0)
     place = grid.finest(found.table)
     seek = grid.finest(asked.table)
 
@@ -270,19 +312,29 @@ def nearest_sites(points: DataFrame, k: int, queries: DataFrame | None = None):
     reach = F.lit(RADII[0] * (1.0 + SLACK))
     for i, f in enumerate(RADII):
         reach = F.when(F.col(f"t{i}") >= k, F.lit(f * (1.0 + SLACK))).otherwise(reach)
-    bound = bound.withColumn("reach", reach * side)
+    reach = reach * side
+    if strays:  # a cell without end may hold its points anywhere
+        reach = F.when(F.col("t0") < k, F.lit(2.0 * extent + extent)).otherwise(reach)
+    bound = bound.withColumn("reach", reach)
     if queries is not None or s.rows < k:
         # Too few points anywhere, or an empty own cell: the whole extent is the bound.
         bound = seek.select("site", *XYZ, "level").join(bound.select("site", "reach"), "site", "left")
         bound = bound.withColumn(
             "reach", F.when(F.col("level") > TOP, 2.0 * extent + 1.0).otherwise(F.coalesce("reach", side * 1.7320509))
         )
+    everywhere = F.col("reach") > 2.0 * extent  # set where nothing bounds the distance
     finer = F.floor(F.log2(side / F.col("reach")))
     pick = F.greatest(F.lit(0), F.least(F.lit(TOP + 2), F.col("level") - F.greatest(F.lit(-1), finer)))
+    pick = F.when(everywhere, F.lit(TOP + 2)).otherwise(pick)
     bound = cut(bound.select("site", *XYZ, "reach", pick.cast("int").alias("level")), key="site")
 
-    search = overlapping_cells(bound, F.col("reach"), grid.side(F.col("level")), low)
-    hits = search.join(at_levels(_levels_of(bound, "level")).hint("shuffle_hash"), ["level", *CELL])
+    level = F.col("level")
+    search = overlapping_cells(bound, F.col("reach"), grid.side(level), low, grid.last(level))
+    # The level of a single cell is dealt over all partitions: few points search it, all points lie in it.
+    shares = int(found.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    search = search.withColumn("share", F.explode(F.when(level == TOP + 2, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = at_levels(_levels_of(bound, "level")).withColumn("share", F.when(level == TOP + 2, F.pmod(F.xxhash64("n_id"), F.lit(shares))).otherwise(0).cast("int"))
+    hits = search.join(dealt.hint("shuffle_hash"), ["level", *CELL, "share"])
     hits = hits.where(d2 <= F.col("reach") * F.col("reach")).select(
         "site", *XYZ, "n_id", "n_x", "n_y", "n_z", d2.alias("d2")
     )

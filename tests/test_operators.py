@@ -166,3 +166,18 @@ def test_commands_and_stages(spark):
     assert stages.run(catalog.get(number)).count() == 40
     with pytest.raises(StageFailed):
         Stages().check("never", lambda d: d).run(catalog.get(number))
+
+
+def test_nearest_points_beside_strays(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 1), rng.gauss(-3, 0.1)) for i in range(400)]
+    rows += [(900, 1e30, 0.0, 0.0), (901, 1e30, 1e28, 0.0), (902, -4e25, 3.0, 1e9), (903, 50.0, 0.0, 1e12)]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    got = {}
+    for r in N.knn(df, 5).collect():
+        got.setdefault(r.point_id, []).append((r["rank"], r.n_id))
+    for i, *p in rows:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for j, *q in rows)[:5]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
