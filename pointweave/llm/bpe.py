@@ -2,10 +2,12 @@
 
 A task keeps token-position rows of the words it has not met lately. One recursive query joins neighbouring
 positions with the merge table, contracts the leftmost pair of minimum rank of every word, and repeats this
-until no word has a pair left. Decoding joins ids with the vocabulary and puts the bytes together by an
-ordered aggregation. No step shuffles: every text is encoded where it was read.
+until no word has a pair left. A query keeps the rows of all its rounds, at most the square of a word's length, so the
+words of one query are counted by their squares. Decoding joins ids with the vocabulary and puts the bytes together by
+an ordered aggregation. No step shuffles: every text is encoded where it was read.
 
-Memory of a task: one slice of texts, two generations of ``REMEMBERED`` encoded words and ``AT_A_TIME`` words of token rows.
+Memory of a worker: one slice of texts, two generations of ``REMEMBERED`` bytes of encoded words, which it keeps from
+task to task, and at most half of ``ROWS_AT_A_TIME`` token rows.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import base64
 import functools
 import heapq
 import re
+from array import array
 
 import duckdb
 import numpy as np
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import schema_with, sliced, texts_of, with_columns
 
-REMEMBERED = 300_000  # entries of one generation; a task keeps two of them between slices
-AT_A_TIME = 20_000  # words in one recursive query
-TEXT_BYTES = 4 << 20  # text encoded at a time
-LONG = 256  # bytes; a longer single word is merged through a heap, as recursion depth is its number of merges
+REMEMBERED = 56 << 20  # bytes of one generation; a worker keeps two of them
+ENTRY = 150  # bytes that an entry takes beside its text and ids
+ROWS_AT_A_TIME = 2_500_000  # sum of the squared lengths of the words in one recursive query
+TEXT_BYTES = 2 << 20  # text encoded at a time
+LONG = 256  # bytes; a longer single word is merged through a heap, as the rounds of a query are its number of merges
 DECODED_AT_A_TIME = 200_000  # ids in one decoding query; one longer text makes a query of its own
 
 # White space as the pattern's \s means it (Unicode White_Space).
@@ -68,18 +72,20 @@ class Memory:
     """Entries of the last slices: when a generation is full it becomes the old one, and the one before is forgotten."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.held, self.young, self.old = size, 0, {}, {}
 
     def known(self, keys: set[str]) -> dict[str, bytes]:
         found = {k: self.young[k] for k in keys & self.young.keys()}
-        found.update((k, self.old[k]) for k in (keys - found.keys()) & self.old.keys())
-        return found
+        again = {k: self.old[k] for k in (keys - found.keys()) & self.old.keys()}
+        self.add(again)
+        return found | again
 
     def add(self, entries: dict[str, bytes]) -> None:
-        if len(self.young) + len(entries) > self.size:
-            self.young, self.old = {}, self.young
-        if len(entries) <= self.size:
-            self.young.update(entries)
+        for key, ids in entries.items():
+            self.held += len(key) + len(ids) + ENTRY
+            if self.held > self.size:
+                self.held, self.young, self.old = 0, {}, self.young
+            self.young[key] = ids
 
 
 class Codec:
@@ -89,7 +95,9 @@ class Codec:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        if max(map(len, self.ranks)) > 255:
+            raise ValueError("a token of more than 255 bytes does not fit the packed rows")
+        self.memory = Memory(REMEMBERED)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         self.loaded: set[str] = set()
 
@@ -97,13 +105,13 @@ class Codec:
         """The merge table; workers that only decode do without it."""
         if "pairs" in self.loaded:
             return
-        left, right, made = [], [], []
+        left, right, made = array("q"), array("q"), array("q")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(rank << 40 | len(token))
-        self._load("pairs", pair=np.array(left, np.int64) << 32 | np.array(right, np.int64), made=np.array(made, np.int64))
+        self._load("pairs", pair=np.asarray(left) << 32 | np.asarray(right), made=np.asarray(made))
 
     def _with_vocabulary(self) -> None:
         # One character for each byte, because aggregates put strings together, not blobs.
@@ -162,8 +170,8 @@ class Codec:
 
     def _ids_of(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of distinct words."""
-        ids, open_ = self.words.known(words), []
-        for word in words - ids.keys():
+        ids, open_ = {}, []
+        for word in words:
             raw = word.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
@@ -172,10 +180,16 @@ class Codec:
                 ids[word] = self._long(raw)
             else:
                 open_.append((word, raw))
-        for at in range(0, len(open_), AT_A_TIME):
-            block = open_[at:at + AT_A_TIME]
+        open_.sort(key=lambda w: len(w[1]))  # words of one query end after about as many rounds
+        at = 0
+        while at < len(open_):
+            stop, size = at, 0
+            while stop < len(open_) and size + len(open_[stop][1]) ** 2 <= ROWS_AT_A_TIME:
+                size += len(open_[stop][1]) ** 2
+                stop += 1
+            block = open_[at:stop]
             ids.update(zip([w for w, _ in block], self._contract([raw for _, raw in block])))
-        self.words.add(ids)
+            at = stop
         return ids
 
     def _split(self, part: str) -> list[str]:
@@ -186,12 +200,17 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_PARTS.findall(t) for t in texts]
         needed = set().union(*cut)
-        packed = self.parts.known(needed)
+        packed = self.memory.known(needed)
         split = {part: self._split(part) for part in needed - packed.keys()}
-        ids = self._ids_of(set().union(*split.values()))
-        packed.update((part, b"".join([ids[w] for w in words])) for part, words in split.items())
-        self.parts.add(packed)
-        return [b"".join([packed[p] for p in parts]) for parts in cut]
+        words = set().union(*split.values()) - packed.keys()
+        ids = self.memory.known(words - split.keys())
+        new = self._ids_of(words - ids.keys())
+        self.memory.add(new)
+        ids |= new | packed
+        made = {part: b"".join([ids[w] for w in words]) for part, words in split.items() if len(words) > 1}
+        self.memory.add(made)
+        ids |= made
+        return [b"".join([ids[p] for p in parts]) for parts in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         self._with_vocabulary()
@@ -216,11 +235,6 @@ class Codec:
         return out
 
 
-    def forget(self) -> None:
-        """Drop the remembered words, so that an idle worker holds the tables only."""
-        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
-
-
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec, with its tables; they are loaded once for all tasks of a Python worker."""
@@ -246,13 +260,10 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
 def _coder(path: str, pattern: str, text: str, back: bool):
     def run(batches):
         held = codec(path, pattern)
-        try:
-            for batch in sliced(batches, text, TEXT_BYTES):
-                ids = held.encode(texts_of(batch, text))
-                more = {"decoded": pa.array(held.decode(ids), pa.binary())} if back else {}
-                yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
-        finally:
-            held.forget()
+        for batch in sliced(batches, text, TEXT_BYTES):
+            ids = held.encode(texts_of(batch, text))
+            more = {"decoded": pa.array(held.decode(ids), pa.binary())} if back else {}
+            yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
 
     return run
 

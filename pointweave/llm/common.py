@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hand_back() -> None:
+    """Return freed memory to the system: an idle worker may live beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def sliced(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text of each slice stays within ``limit`` bytes, one row at least."""
+    """Cut Arrow batches so that the text of each slice stays within ``limit`` bytes, one row at least.
+
+    At the end of a task freed memory goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -32,6 +43,7 @@ def sliced(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    hand_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

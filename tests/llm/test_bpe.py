@@ -36,8 +36,18 @@ def test_long_words_and_short_ones_merge_alike():
     assert ids(CODEC.encode([word])[0]) == LIBRARY.encode_ordinary(word)
 
 
+@pytest.mark.parametrize("alphabet, size, words", [
+    ("的一是不了在人有我他这中大来上国个到说们", 20, 2000), ("的一是不了在人有我他这中大来上国个到说们", 10, 4000),
+    ("abetnrsio", 60, 3000), ("abetnrsio", 200, 800), ("0123456789abcdef", 128, 800)])
+def test_many_distinct_long_words_fit_the_memory(alphabet, size, words):
+    rng = random.Random(size)
+    text = " ".join("".join(rng.choice(alphabet) for _ in range(size)) for _ in range(words))
+    packed = bpe.Codec(PATH, P.PATTERN).encode([text])
+    assert ids(packed[0]) == LIBRARY.encode_ordinary(text)
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3 * bpe.ENTRY + 30)
     small = bpe.Codec(PATH, P.PATTERN)
     for text in ["one two three four", "five six", "one two"]:
         assert ids(small.encode([text])[0]) == LIBRARY.encode_ordinary(text)
