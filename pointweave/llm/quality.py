@@ -5,8 +5,8 @@ with none; the difference of the two sizes, normalised by the plain compressed s
 resembles. A logistic calibration of that difference, with the compression ratio and the length beside it,
 turns it into the probability of a good label. The calibration is fitted on rows the dictionaries have not seen.
 
-The model is bounded whatever the input: ``SAMPLE`` labelled rows of each class, chosen by a hash of the key, of
-which half give ``EXCERPT`` characters to a dictionary and half are measured whole in the tasks.
+The model is bounded whatever the input: ``SAMPLE`` labelled keys of each class, chosen by a hash of the key. Half of them are cut
+whole into pieces, of which ``PIECES`` train the dictionary of their class, chosen by a hash again; half are measured whole in the tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import bytes_of, schema_with, sliced, with_columns
+from pointweave.session import cut
 
-SAMPLE = 4000  # labelled rows of each class, half for the dictionary and half for the calibration
-EXCERPT = 4096  # characters of a row that a dictionary is trained on
+SAMPLE = 4000  # labelled keys of each class, half for the dictionary and half for the calibration
+PIECES = 8192  # pieces that a dictionary is trained on
+PIECE = 1024  # bytes of a piece
 DICTIONARY = 112_640  # bytes
-TRAINED_ON = 1024  # bytes of a training sample
 BLOCK = 2048  # bytes compressed at a time: short enough that the dictionary outweighs the text's own history
 LEVEL = 3
 THRESHOLD = 0.3
@@ -38,8 +39,7 @@ class Model:
     weights: tuple[float, ...]  # the intercept first; empty where a class has no labelled row
 
 
-def _dictionary(excerpts: list[bytes]) -> bytes:
-    blocks = [e[i:i + TRAINED_ON] for e in excerpts for i in range(0, len(e), TRAINED_ON)]
+def _dictionary(blocks: list[bytes]) -> bytes:
     size = min(DICTIONARY, max(256, sum(map(len, blocks)) // 4))
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
@@ -105,19 +105,25 @@ def probability(model: Model, sizes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on the texts of ``docs`` that ``labels`` (key, label 0 or 1) marks; null keys, texts and labels are left out.
 
-    Which rows enter depends on a hash of the key alone. Where a class is absent the model scores 0.5.
+    Which keys enter depends on a hash of the key alone. A key counts once: of several labels the greatest holds, of several texts the
+    least. Where a class is absent the model scores 0.5.
     """
     hashed = F.xxhash64(F.col("key").cast("string"))
-    marks = labels.select(F.col(key).alias("key"), F.col("label").cast("int").alias("label")).dropna()
+    marks = labels.select(F.col(key).alias("key"), F.col("label").cast("int").alias("label")).dropna().groupBy("key").agg(F.max("label").alias("label"))
     picked = [marks.where(F.col("label") == k).orderBy(hashed, "key").limit(SAMPLE) for k in (0, 1)]
-    # At most 2 * SAMPLE keys; the texts stay where they are.
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().join(
-        F.broadcast(picked[0].unionByName(picked[1])), "key")
-    sample = sample.withColumn("half", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("half")), F.lit(2)))
-    start = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("start")), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1))
-    excerpts = (sample.where("half = 0").select("key", "label", F.substring("text", (start + 1).cast("int"), F.lit(EXCERPT)).alias("text"))
-                .orderBy("label", "key", "text").limit(4 * SAMPLE).collect())
-    texts = {k: [r["text"].encode() for r in excerpts if r["label"] == k] for k in (0, 1)}
+    # At most 2 * SAMPLE keys; the texts stay where they are until one for each key is left.
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().join(F.broadcast(picked[0].unionByName(picked[1])), "key")
+    sample = found.groupBy("key", "label").agg(F.min("text").alias("text"))
+    sample = cut(sample.withColumn("half", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("half")), F.lit(2))))
+
+    def pieces(batches):
+        for batch in sliced(batches, "text"):
+            for label, raw in zip(batch["label"].to_pylist(), bytes_of(batch)):
+                parts = [raw[i:i + PIECE] for i in range(0, len(raw), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["label", "piece"])
+
+    cut_up = cut(sample.where("half = 0").select("label", "text").mapInArrow(pieces, "label int, piece binary"))
+    texts = {k: [bytes(r[0]) for r in cut_up.where(F.col("label") == k).orderBy(F.xxhash64("piece"), "piece").limit(PIECES).select("piece").collect()] for k in (0, 1)}
     if not any(texts[0]) or not any(texts[1]):
         return Model(b"", b"", (), (), ())
     good, bad = _dictionary(texts[1]), _dictionary(texts[0])
@@ -131,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     measured = (sample.where("half = 1").select("label", "text")
                 .mapInArrow(measure, "label int, good bigint, bad bigint, plain bigint, raw bigint")
-                .orderBy("label", "raw", "plain", "good", "bad").limit(4 * SAMPLE).collect())
+                .orderBy("label", "raw", "plain", "good", "bad").collect())  # one row for each sampled key
     y = np.array([r["label"] for r in measured], float)
     if not 0 < y.sum() < len(y):
         return Model(b"", b"", (), (), ())

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointweave.llm import quality
 
@@ -50,3 +51,26 @@ def test_held_out_rows_are_those_of_crc32(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id"), 5, 0).alias("out")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_repeated_keys_and_labels_count_once(docs, spark, model):
+    rows = docs(texts(80, 1))
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160)] + [(150, 0)] * 5000 + [(0, 0)], "doc_id long, label int")
+    copies = rows.where("doc_id between 150 and 152").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6000)))).drop("k")
+    assert quality.fit(rows.unionByName(copies), labels) == quality.fit(rows, labels) == model
+
+
+def test_scores_are_those_of_plain_compression(docs, model):
+    import numpy as np
+    import zstandard
+
+    rows = [None, "", "x y z", *texts(5, 3)]
+    bare = dict(level=quality.LEVEL, write_content_size=False, write_dict_id=False)
+    tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **bare) for d in (model.good, model.bad)] + [zstandard.ZstdCompressor(**bare)]
+    got = {r.doc_id: r.score for r in quality.score(docs(rows), model).collect()}
+    for i, text in enumerate(rows):
+        raw = (text or "").encode()
+        good, bad, plain = (sum(len(t.compress(raw[at:at + quality.BLOCK])) for at in range(0, len(raw), quality.BLOCK)) for t in tools)
+        d, ratio, length = (good - bad) / (plain + 50), (plain + 50) / (len(raw) + 50), np.log(len(raw) + 50)
+        x = (np.array([d, ratio, length, d * d, ratio * ratio, length * length, d * ratio, d * length, ratio * length]) - model.centre) / model.scale
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + x @ np.array(model.weights[1:])))))
