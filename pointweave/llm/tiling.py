@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pointweave.llm.common import bytes_of, sliced
@@ -19,7 +20,8 @@ from pointweave.session import cut
 MATCH = 5  # words of the shortest tile; a shorter item is matched as a whole
 COVERAGE = 0.7  # of an item's words
 FILTER_BITS = 1 << 24  # of the bitmap of seeds that tasks ask before they send a seed
-FILTERED = 1 << 20  # seeds up to which the bitmap is of use, and up to which they are broadcast
+FILTERED = 1 << 20  # positions up to which the bitmap is of use, and rows of seeds up to which they are broadcast
+ITEMS = 256  # items that one row of a document is compared with
 _PAIR = "struct<doc_start:int,item_start:int,size:int>"
 
 
@@ -118,28 +120,30 @@ def tiles(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, i
 
 
 def _tile_rows(batches):
+    kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("size", pa.int32())]))
     for batch in batches:
-        docs, items = bytes_of(batch, "text"), bytes_of(batch, "item_text")
-        out = []
-        for doc, item in zip(docs, items):
-            d, i = tokens([doc]).hash, tokens([item]).hash
-            shortest = min(MATCH, len(i))
-            # Only places that a shared seed covers can be in a tile; a gap stands for the words between them.
-            start, h = Tokens(d, np.zeros(len(d), np.int64), np.array([0, len(d)])).windows(shortest)
-            own = Tokens(i, np.zeros(len(i), np.int64), np.array([0, len(i)])).windows(shortest)[1]
-            covered = np.zeros(len(d) + 1, np.int64)
-            hits = start[np.isin(h, own)]
-            np.add.at(covered, hits, 1)
-            np.add.at(covered, hits + shortest, -1)
-            inside = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
-            gaps = np.flatnonzero(np.diff(inside) > 1) + 1
-            words = np.insert(d[inside], gaps, np.arange(len(gaps), dtype=np.uint64))
-            places = np.insert(inside, gaps, -1)
-            out.append([{"doc_start": int(places[p]), "item_start": q, "size": n} for p, q, n in tiles(words, i, shortest)])
-        kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("size", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["item_id"], batch["n_words"], pa.array([sum(t["size"] for t in ts) for ts in out], pa.int32()), pa.array(out, kind)],
-            names=["doc_id", "item_id", "n_words", "n_covered", "tiles"])
+        for row, doc in enumerate(bytes_of(batch, "text")):
+            items = batch["items"].slice(row, 1).flatten()
+            d, out = tokens([doc]).hash, []
+            for item in bytes_of(pa.RecordBatch.from_arrays([pc.struct_field(items, "item_text")], names=["text"])):
+                i = tokens([item]).hash
+                shortest = min(MATCH, len(i))
+                # Only places that a shared seed covers can be in a tile; a gap stands for the words between them.
+                start, h = Tokens(d, np.zeros(len(d), np.int64), np.array([0, len(d)])).windows(shortest)
+                own = Tokens(i, np.zeros(len(i), np.int64), np.array([0, len(i)])).windows(shortest)[1]
+                covered = np.zeros(len(d) + 1, np.int64)
+                hits = start[np.isin(h, own)]
+                np.add.at(covered, hits, 1)
+                np.add.at(covered, hits + shortest, -1)
+                inside = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+                gaps = np.flatnonzero(np.diff(inside) > 1) + 1
+                words = np.insert(d[inside], gaps, np.arange(len(gaps), dtype=np.uint64))
+                places = np.insert(inside, gaps, -1)
+                out.append([{"doc_start": int(places[p]), "item_start": q, "size": n} for p, q, n in tiles(words, i, shortest)])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(pa.array(np.full(len(out), row))), pc.struct_field(items, "item_id"), pc.struct_field(items, "n_words"),
+                 pa.array([sum(t["size"] for t in ts) for ts in out], pa.int32()), pa.array(out, kind)],
+                names=["doc_id", "item_id", "n_words", "n_covered", "tiles"])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -160,11 +164,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
         np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
         bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
-    shared = document_seeds(docs, sizes, bitmap).join(F.broadcast(seeds) if few else seeds, "seed")
+    small = seeds.limit(FILTERED + 1).count() <= FILTERED  # items with many seeds in common have few positions and many rows
+    shared = document_seeds(docs, sizes, bitmap).join(F.broadcast(seeds) if small else seeds, "seed")
     pairs = cut(shared.groupBy("doc_id", "item_id", "n_words").agg(F.sum("n").alias("n"))
                 .where(F.col("n") * F.least(F.lit(MATCH), "n_words") >= F.col("n_words") * COVERAGE).drop("n"))
     named = items.withColumnRenamed("text", "item_text")
-    met = docs.join(pairs, "doc_id").join(named, "item_id").select("doc_id", "item_id", "n_words", "text", "item_text")
+    # A document is sent once for every ITEMS items that it may leak.
+    chunks = pairs.groupBy("doc_id").agg(F.ceil(F.count("*") / ITEMS).alias("chunks"))
+    dealt = pairs.join(chunks, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.col("chunks"))).join(named, "item_id")
+    asked = dealt.groupBy("doc_id", "chunk").agg(F.collect_list(F.struct("item_id", "n_words", "item_text")).alias("items"))
+    met = docs.join(cut(asked), "doc_id").select("doc_id", "text", "items")
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString() if c == 'doc_id' else items.schema[c].dataType.simpleString()}"
                       for c in ("doc_id", "item_id"))
     tiled = met.mapInArrow(_tile_rows, f"{kinds}, n_words int, n_covered int, tiles array<{_PAIR}>")

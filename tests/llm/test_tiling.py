@@ -64,6 +64,14 @@ def test_leaks(docs, spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 6, 7]
 
 
+def test_a_document_that_holds_very_many_items(docs, spark, monkeypatch):
+    monkeypatch.setattr(tiling, "ITEMS", 4)
+    items = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(50)]
+    bench = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(items)], ITEMS)
+    df = docs([" ".join(items), items[7], "nothing"])
+    assert {(r.doc_id, r.item_id) for r in tiling.leaks(df, bench).collect()} == {(0, i) for i in range(50)} | {(1, 7)}
+
+
 def test_many_seeds_need_no_bitmap_and_empty_tables(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven", "s", 1)], ITEMS)
     df = docs(["zero one two three four five six seven eight", "one two three"])
