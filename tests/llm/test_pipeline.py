@@ -16,7 +16,7 @@ def test_every_stage_on_planted_cases(docs, spark, folder):
     good = [prose(rng.randint(150, 300)) for _ in range(100)]
     bad = [" ".join(rng.choice(WORDS).upper() + "!!" for _ in range(rng.randint(60, 300))) for _ in range(100)]
     item = prose(40)
-    texts = [*good, *bad, good[0], good[1] + " extra", good[2] + " " + item, good[3][:600] + " a.b@example.com +1 (555) 010-2030", None, ""]
+    texts = [*good, *bad, good[0], good[1] + " extra", prose(200) + " " + item, good[3][:600] + " a.b@example.com +1 (555) 010-2030", None, ""]
     sf_dir = folder("sf")
     docs(texts).write.parquet(f"{sf_dir}/documents.parquet")
     spark.createDataFrame([(i, int(i < 100), 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
