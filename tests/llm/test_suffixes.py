@@ -71,3 +71,30 @@ def test_an_id_on_two_texts(docs):
     df = df.withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(0)).otherwise(F.lit(2)).cast("long")).coalesce(1)
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.repeats(df).collect()}
     assert got == {0: [(0, 300)], 2: [(0, 300)]}
+
+
+def test_neighbours_across_the_borders_of_ranges(docs, spark):
+    rng = random.Random(3)
+    rows = [(bytes([rng.randrange(40)]) * 3, i, 0) for i in range(60)] + [(b"\x50" * 3, i, 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "suffix binary, doc_id long, place int")
+    times = defaultdict(int)
+    for suffix, _, _ in rows:
+        times[suffix] += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (1, 7, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sorted((r.doc_id, r.place) for r in suffixes.neighbours(df).collect())
+        assert got == sorted((i, p) for s, i, p in rows if times[s] > 1)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert suffixes.neighbours(df.limit(0)).count() == 0
+
+
+def test_a_passage_at_every_place_and_length(docs):
+    rng = random.Random(11)
+    noise = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in range(48, 58):
+        p = noise(n)
+        rows += [" ".join(noise(rng.randint(0, 45)) + p + noise(rng.randint(0, 45))) for _ in range(4)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.repeats(docs(rows)).collect()}
+    assert got == plain(rows)
