@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, overlaps, pii, quality, tiling
+from pointweave.llm import bpe, pii, quality, simhash, tiling
 from pointweave.llm.common import held_out, table
 from pointweave.session import scratch_root
 
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its 5-word shingles, the one with the smallest id."""
-    return overlaps.one_of_each(docs)
+    """One document of each group that SimHash links within three bits, as in op7, the one with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from pointweave.llm import bpe
+from pointweave.llm import bpe, simhash
 from tests.llm.test_quality import WORDS
 
 
@@ -41,3 +41,15 @@ def test_every_stage_on_planted_cases(docs, spark, folder):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(held[4])
+
+
+def test_near_duplicates_are_those_of_simhash(docs, spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)) for _ in range(30)]
+    for k in range(30):  # a changed word at one end leaves four fifths of the shingles, whatever the fingerprints are
+        texts.append(texts[k] + f" other{k}")
+    rows = docs(texts)
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()}
+    assert kept == {i for i, c in classes.items() if i == c}
+    assert any(i >= 30 for i in kept)
