@@ -181,3 +181,28 @@ def test_nearest_points_beside_strays(spark):
     for i, *p in rows:
         want = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for j, *q in rows)[:5]
         assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_normal_deviation_of_copies_and_repeated_ids_is_that_of_all_pairs(spark, monkeypatch):
+    p = np.round(RNG.random((60, 3)) * 2, 1)
+    n = RNG.normal(size=(60, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    ids = list(range(60))
+    p[10:30], n[10:30] = p[10], n[10]
+    ids[40], ids[41], ids[12] = 0, 0, 11
+    rows = [(i, *map(float, a), *map(float, b)) for i, a, b in zip(ids, p, n)] + [(None, *map(float, p[0]), *map(float, n[0]))]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double, nx double, ny double, nz double")
+    met, plain = [], N.radius_pairs
+
+    def counted(points, *args, **options):
+        met.append(points.count())
+        return plain(points, *args, **options)
+
+    monkeypatch.setattr(O, "radius_pairs", counted)
+    got = {r.point_id: r.deviation for r in O.normal_deviation(df, 0.52).where("point_id is not null").collect()}
+    assert met == [41]  # classes, not rows
+    near = np.linalg.norm(p[:, None] - p[None], axis=2) <= 0.52
+    angle = np.degrees(np.arccos(np.clip(n @ n.T, -1, 1)))
+    for i in set(ids):
+        found = [angle[a, b] for a in range(60) for b in range(60) if ids[a] == i and ids[b] != i and near[a, b]]
+        assert got[i] == pytest.approx(np.mean(found) if found else 0.0, abs=1e-5)
