@@ -206,3 +206,10 @@ def test_normal_deviation_of_copies_and_repeated_ids_is_that_of_all_pairs(spark,
     for i in set(ids):
         found = [angle[a, b] for a in range(60) for b in range(60) if ids[a] == i and ids[b] != i and near[a, b]]
         assert got[i] == pytest.approx(np.mean(found) if found else 0.0, abs=1e-5)
+
+
+def test_corners_of_exploded_meshes_are_not_broadcast(spark):
+    sizes = spark.range(3).selectExpr("id mesh_id", "id * 3.0D x0", "0.0D y0", "0.0D z0", "1.0D sx", "2.0D sy", "3.0D sz")
+    placed = M.with_corners(*tables.boxes(sizes))
+    assert placed.count() == 36
+    assert "Broadcast" not in placed._jdf.queryExecution().sparkPlan().toString()
