@@ -213,3 +213,12 @@ def test_corners_of_exploded_meshes_are_not_broadcast(spark):
     placed = M.with_corners(*tables.boxes(sizes))
     assert placed.count() == 36
     assert "Broadcast" not in placed._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_supplier_meshes_are_made_once(spark, tmp_path):
+    rows = [(s, float(q), d / 100, 9970.0 * (q + d)) for s in (1, 2) for q in range(1, 4) for d in range(3)]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_discount double, l_extendedprice double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    vertices, faces = tables.supplier_meshes(spark, str(tmp_path))
+    assert vertices.count() == 18 and faces.count() == 16
+    assert not any("lineitem" in f for df in (vertices, faces) for f in df.inputFiles())
