@@ -11,9 +11,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointweave.llm import bpe, pii, quality, simhash, tiling
-from pointweave.llm.common import held_out, table
-from pointweave.session import scratch_root
+from pointweave.llm import bpe, overlaps, pii, quality, simhash, tiling
+from pointweave.llm.common import held_out, one_of_components, table
+from pointweave.session import cut, scratch_root
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links within three bits, as in op7, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """Documents with the smallest id of all that SimHash links within three bits, as in op7, and of all that 5-word shingles link.
+
+    SimHash alone leaves most texts that share four fifths of their shingles, so both run over all documents.
+    """
+    linked, shared = cut(simhash.near_duplicates(docs).select("doc_id", "component_id")), cut(overlaps.near_copies(docs))
+    return one_of_components(one_of_components(docs, linked, "doc_id"), shared, "doc_id")
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
