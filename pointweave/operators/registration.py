@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from pointweave.functions import matrix as M, vector as V
-from pointweave.operators.neighbors import nearest_sites
-from pointweave.operators.sites import XYZ
+from pointweave.operators.neighbors import nearest_sites, tiled
+from pointweave.operators.sites import XYZ, Sites
 
 
 def best_rigid(pairs: DataFrame) -> np.ndarray:
@@ -44,9 +44,11 @@ def register(source: DataFrame, target: DataFrame, rounds: int = ROUNDS, toleran
     fit; their coordinates become NULL or NaN as the motion makes them.
     """
     motion = np.eye(4)
-    for _ in range(rounds):
+    held = Sites(target)
+    tiles = tiled(held, 1) if held.stats.sites else None
+    for _ in range(rounds if tiles else 0):
         moved = _moved(source, motion)
-        sites, nearest = nearest_sites(target, 1, moved)
+        sites, nearest = nearest_sites(target, 1, moved, tiles)
         pairs = nearest.where(F.col("d2") <= reach * reach).join(sites.table.select("site", F.col("n").cast("double").alias("w")), "site")
         step = best_rigid(pairs)
         motion = step @ motion
