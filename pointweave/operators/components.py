@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pointweave.session import cut
 
 CHUNK = 1_000_000  # edges contracted at a time inside a task; bounds its memory
+NEAR_BITS = 18  # ids that agree but for so many bits are contracted together where edges mostly join near ids
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +82,17 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
-def component_roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def component_roots(edges: DataFrame, a: str = "a", b: str = "b", near: bool = False) -> DataFrame:
     """(node, root) for every node that is not itself the smallest of its component.
 
     Alternates large-star and small-star steps until all edges form stars. Each
-    round first contracts the edges inside the tasks, so few rounds remain.
+    round first contracts the edges inside the tasks, so few rounds remain. With
+    ``near`` edges of near ids are brought into one task before the first contraction,
+    which then leaves little where ids follow the surface, as those of faces do.
     """
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
+    if near:
+        pairs = pairs.repartition(F.shiftright("a", NEAR_BITS))
     current = cut(_local_forest(pairs.where(F.col("a") != F.col("b"))))
     while not _is_forest_of_stars(current):
         current = cut(_local_forest(_star(current, large=True)))
@@ -97,9 +102,9 @@ def component_roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node", near: bool = False) -> DataFrame:
     """(node, root) for every node; root is the smallest id of its component."""
-    roots = component_roots(edges)
+    roots = component_roots(edges, near=near)
     return nodes.select(F.col(node).alias("node")).join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )

@@ -87,7 +87,7 @@ def corner_fans(faces: DataFrame) -> DataFrame:
         "low", "high", "e.*")
     first = met.groupBy("low", "high", "at").agg(F.min("corner").alias("first"), F.count("*").alias("n")).where("n > 1")
     links = met.join(first, ["low", "high", "at"]).where(F.col("corner") != F.col("first"))
-    roots = C.component_roots(links.select(F.col("corner").alias("a"), F.col("first").alias("b")))
+    roots = C.component_roots(links.select(F.col("corner").alias("a"), F.col("first").alias("b")), near=True)
     return nodes.join(roots, F.col("corner") == F.col("node"), "left").select(
         "mesh_id", "vertex_id", "corner", F.coalesce("root", "corner").alias("fan"))
 
@@ -95,16 +95,21 @@ def corner_fans(faces: DataFrame) -> DataFrame:
 def face_components(faces: DataFrame, seams: DataFrame | None = None) -> DataFrame:
     """(face_id, patch): faces joined over shared edges, but not over seam edges (a, b).
 
-    Every face of an edge links to the smallest face of that edge, so an edge
-    of any valence costs one link per face.
+    The faces of an edge link to the smallest of them: the largest at once, others, which only an edge of three or
+    more faces has, by a join with those edges. An edge of any valence costs one link per face.
     """
-    e = half_edges(faces).select("face_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = half_edges(faces).select("face_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null")
+    met = e.groupBy("a", "b").agg(F.min("face_id").alias("first"), F.max("face_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     if seams is not None:
         walls = seams.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        e = e.join(walls, ["a", "b"], "left_anti")
-    first = e.groupBy("a", "b").agg(F.min("face_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    links = e.join(first, ["a", "b"]).where(F.col("face_id") != F.col("first"))
-    found = C.components(faces, links.select(F.col("face_id").alias("a"), F.col("first").alias("b")), "face_id")
+        met = met.join(walls, ["a", "b"], "left_anti")
+    met = cut(met)
+    links = met.where("first <> last").select(F.col("last").alias("a"), F.col("first").alias("b"))
+    several = met.where("n > 2").select("a", "b", "first", "last")
+    if not several.isEmpty():
+        more = e.join(several, ["a", "b"]).where((F.col("face_id") != F.col("first")) & (F.col("face_id") != F.col("last")))
+        links = links.unionByName(more.select(F.col("face_id").alias("a"), F.col("first").alias("b")))
+    found = C.components(faces, links, "face_id", near=True)
     return found.select(F.col("node").alias("face_id"), F.col("root").alias("patch"))
 
 
@@ -125,7 +130,7 @@ def boundary_loops(faces: DataFrame) -> DataFrame:
     follow = named.select(F.col("a").alias("b"), F.col("leaves").alias("enters"), F.col("edge").alias("next"))
     chain = cut(named.join(follow, ["b", "enters"], "left").select("mesh_id", "edge", "next", "a", "b"))
     roots = C.components(chain.select(F.col("edge").alias("node")), chain.where("next is not null").select(
-        F.col("edge").alias("a"), F.col("next").alias("b")))
+        F.col("edge").alias("a"), F.col("next").alias("b")), near=True)
     return chain.join(roots.select(F.col("node").alias("edge"), F.col("root").alias("loop")), "edge").select(
         "mesh_id", "loop", "edge", "next", "a", "b")
 
@@ -220,14 +225,17 @@ def validate(placed: DataFrame, short: float = 1e-6) -> DataFrame:
 def near_pairs(vertices: DataFrame, faces: DataFrame, distance: float) -> DataFrame:
     """(mesh_id, v0, v1, distance): pairs of a mesh's vertices closer than ``distance`` that no edge joins, v0 < v1.
 
-    Vertices in one place are pairs of distance zero. Equal cells of side ``distance`` meet their neighbours; a vertex is sent to the
-    fourteen cells that see each pair once.
+    Vertices in one place are pairs of distance zero. Cells are four times as wide as the distance; a vertex is sent to its own and to those
+    just below it that it may share with a lower partner, twice as many rows as vertices. A pair meets in the cell of its lower corner.
     """
-    placed = vertices.select("mesh_id", "vertex_id", *XYZ, *[K.cell(F.col(c), distance).alias(g) for c, g in zip(XYZ, CELL)])
-    ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-    moves = F.explode(F.array(*[F.struct(*[(F.col(g) + m).alias(g) for g, m in zip(CELL, move)], F.lit(move == (0, 0, 0)).alias("own")) for move in ahead]))
-    sent = placed.select("mesh_id", F.col("vertex_id").alias("v0"), *[F.col(c).alias(f"a{c}") for c in XYZ], moves.alias("m")).select("mesh_id", "v0", "ax", "ay", "az", "m.*")
-    met = sent.join(placed.hint("shuffle_hash"), ["mesh_id", *CELL]).where(~F.col("own") | (F.col("v0") < F.col("vertex_id")))
+    side, wide = 4.0 * distance, distance * (1.0 + 1e-9)
+    sent = vertices.select("mesh_id", "vertex_id", *XYZ)
+    for g, c in zip(CELL, XYZ):
+        sent = sent.withColumn(g, F.explode(F.sequence(K.cell(F.col(c) - wide, side), K.cell(F.col(c), side))))
+    other = sent.toDF("mesh_id", "v0", "ax", "ay", "az", *CELL)
+    met = other.join(sent.hint("merge"), ["mesh_id", *CELL]).where(F.col("v0") < F.col("vertex_id"))
+    for g, c in zip(CELL, XYZ):
+        met = met.where(F.col(g) == K.cell(F.least(f"a{c}", c), side))
     far = V.distance(V.vec("ax", "ay", "az"), V.vec(*XYZ))
     near = met.where(far < distance).select("mesh_id", F.least("v0", "vertex_id").alias("a"), F.greatest("v0", "vertex_id").alias("b"), far.alias("distance"))
     return near.join(edge_valence(faces), ["mesh_id", "a", "b"], "left_anti").select("mesh_id", F.col("a").alias("v0"), F.col("b").alias("v1"), "distance")
@@ -313,7 +321,7 @@ def face_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """
     a = face_cells(left, size).select(F.col("face_id").alias("face_a"), *CELL, *[F.col(f"{n}{c}").alias(f"p{n}{c}") for n in "abc" for c in XYZ])
     b = face_cells(right, size).select(F.col("face_id").alias("face_b"), *CELL, *[F.col(f"{n}{c}").alias(f"q{n}{c}") for n in "abc" for c in XYZ])
-    met = a.join(b.hint("shuffle_hash"), CELL)
+    met = a.join(b.hint("merge"), CELL)
     p, q = _box("p"), _box("q")
     once = F.lit(True)
     for g, s, t in zip(CELL, p.low, q.low):
@@ -335,7 +343,7 @@ def ray_hits(points: DataFrame, placed: DataFrame, axis: int = 2, size: float =
         ends = [F.col(f"{n}{XYZ[i]}") for n in "abc"]
         df = df.withColumn(CELL[i], F.explode(F.sequence(K.cell(F.least(*ends), size), K.cell(F.greatest(*ends), size))))
     asked = points.select("point_id", *XYZ, *[K.cell(F.col(XYZ[i]), size).alias(CELL[i]) for i in plane])
-    met = asked.join(df.hint("shuffle_hash"), g)
+    met = asked.join(df.hint("merge"), g)
     direction = V.vec(*[1.0 if i == axis else 0.0 for i in range(3)])
     t, _, _ = B.ray_triangle(V.vec(*XYZ), direction, *corners())
     return met.withColumn("t", t).where(F.col("t").isNotNull()).select("point_id", "mesh_id", "face_id", "t")
@@ -380,7 +388,7 @@ def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, toleran
         ends = [F.col(f"{n}{c}") for n in "abc"]
         above = above.withColumn(g, F.explode(F.sequence(K.cell(F.least(*ends), size), K.cell(F.greatest(*ends), size))))
     asked = points.select("point_id", *by, *XYZ, *[K.cell(F.col(c), size).alias(g) for c, g in zip(XYZ, CELL)])
-    met = asked.drop("gz").join(above.hint("shuffle_hash"), [*by, *CELL[:2]])
+    met = asked.drop("gz").join(above.hint("merge"), [*by, *CELL[:2]])
     nx, ny, nz = _cross()
     height = F.when(nz != 0, F.col("az") - (nx * (F.col("x") - F.col("ax")) + ny * (F.col("y") - F.col("ay"))) / nz)
     outline = [(F.col(f"{n}x"), F.col(f"{n}y")) for n in "abc"]
@@ -391,7 +399,7 @@ def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, toleran
         ends = [F.col(f"{n}{c}") for n in "abc"]
         touched = touched.withColumn(g, F.explode(F.sequence(
             K.cell(F.least(*ends) - tolerance, size), K.cell(F.greatest(*ends) + tolerance, size))))
-    close = asked.join(touched.hint("shuffle_hash"), [*by, *CELL]).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
+    close = asked.join(touched.hint("merge"), [*by, *CELL]).where(_box().distance2(V.vec(*XYZ)) <= tolerance * tolerance)
     keep = ("point_id", "mesh_id", "face_id")
     kinds = [f"{c} {close.schema[c].dataType.simpleString()}" for c in keep]
     close = close.select(*keep, *XYZ, *[f"{n}{c}" for n in "abc" for c in XYZ]).mapInArrow(
@@ -446,7 +454,7 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
         asked = fan_out(wanted, "point_id")
         for g, c in zip(CELL, XYZ):
             asked = asked.withColumn(g, F.explode(F.sequence(K.cell(F.col(c) - width, grid), K.cell(F.col(c) + width, grid))))
-        met = asked.join(face_cells(placed, grid).hint("shuffle_hash"), CELL)
+        met = asked.join(face_cells(placed, grid).hint("merge"), CELL)
         # A face within reach is met in several cells; the one with the lower corner of the overlap tests it.
         for g, c, least in zip(CELL, XYZ, _box().low):
             met = met.where(F.col(g) == K.cell(F.greatest(F.col(c) - width, least), grid))

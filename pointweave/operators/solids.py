@@ -179,7 +179,7 @@ def contacts(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
         return cells.select("job", *CELL, F.col("face_id").cast("long").alias(f"{s}face"), *[F.col(f"v{i}").cast("long").alias(f"{s}v{i}") for i in range(3)],
                             *[F.col(c).alias(f"{s}{c}") for c in CORNERS])
 
-    met = side(left, "l").join(side(right, "r").hint("shuffle_hash"), ["job", *CELL])
+    met = side(left, "l").join(side(right, "r").hint("merge"), ["job", *CELL])
     p, q = M._box("l"), M._box("r")
     once = F.lit(True)
     for g, s, t in zip(CELL, p.low, q.low):
