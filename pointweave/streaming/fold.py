@@ -50,6 +50,19 @@ def events(frames: DataFrame, size: float, value: str, carve: bool) -> DataFrame
     return hits.withColumns({**{k: F.floor(F.col(c) / BLOCK) for k, c in zip(KEY, W.VOXEL)}, "slot": slot.cast("int")}).select(*KEY, *_EVENT)
 
 
+_NARROW = {"slot": np.int16, "kind": np.int8}
+PIECE = 1 << 17  # events folded at a time, about
+
+
+def _packed(rows) -> dict[str, np.ndarray]:
+    """The columns of all events of a block; every frame of rows is given back as soon as it is read."""
+    held = [{c: np.ascontiguousarray(part[c].to_numpy(), _NARROW.get(c)) for c in _EVENT} for part in rows]
+    out = {}
+    for c in _EVENT:
+        out[c] = np.concatenate([h.pop(c) for h in held])
+    return out
+
+
 class Fold:
     """The voxels of one block: arrays by slot."""
 
@@ -65,16 +78,28 @@ class Fold:
                 own[slot] = given
             self.newest, self.late = state[8], state[9]
 
-    def add(self, rows: pd.DataFrame, cap: int) -> np.ndarray:
-        """Fold events in order; the slots that changed."""
-        frame = rows["frame_id"].to_numpy()
-        due = np.full(len(rows), True) if self.newest is None else frame >= self.newest
+    def add(self, rows, cap: int) -> np.ndarray:
+        """Fold events, columns by name, in order; the slots that changed. Frames go by in pieces, so that only their columns are held whole."""
+        frame = np.asarray(rows["frame_id"])
+        due = np.full(len(frame), True) if self.newest is None else frame >= self.newest
         self.late += int(len(np.unique(frame[~due])))
-        rows = rows[due]
-        if not len(rows):
+        at = np.flatnonzero(due)
+        if not len(at):
             return np.zeros(0, int)
+        at = at[np.argsort(frame[at], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, frame[at[1:]] != frame[at[:-1]], True])  # where frames begin
+        changed, a = [], 0
+        while a < len(at):
+            z = int(edges[min(np.searchsorted(edges, a + PIECE), len(edges) - 1)])
+            changed.append(self._fold({c: np.asarray(rows[c])[at[a:z]] for c in _EVENT}, cap))
+            a = z
+        self.newest = max(int(frame[at[-1]]), self.newest if self.newest is not None else int(frame[at[0]]))
+        return np.unique(np.concatenate(changed))
+
+    def _fold(self, rows: dict[str, np.ndarray], cap: int) -> np.ndarray:
         order = np.lexsort((rows["u"], rows["v"], rows["kind"], rows["frame_id"]))
-        slot, kind, frame, s, r, g, b = (rows[c].to_numpy()[order] for c in ("slot", "kind", "frame_id", "s", "r", "g", "b"))
+        slot, kind, frame, s, r, g, b = (rows[c][order] for c in ("slot", "kind", "frame_id", "s", "r", "g", "b"))
+        slot = slot.astype(np.int64)
         # The events of different slots do not meet, so the k-th event of every slot is applied at once.
         by_slot = np.argsort(slot, kind="stable")
         sorted_slot = slot[by_slot]
@@ -94,7 +119,6 @@ class Fold:
             self.weight[k] = np.minimum(w + 1, cap)
             self.hits[k] += 1
             self.last[k] = frame[hit]
-        self.newest = max(int(frame.max()), self.newest if self.newest is not None else int(frame.min()))
         return np.unique(slot)
 
     def state(self) -> tuple:
@@ -119,7 +143,7 @@ class BlockFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         block = Fold(self.held.get() if self.held.exists() else None)
-        changed = block.add(pd.concat(list(rows), ignore_index=True), self.cap)
+        changed = block.add(_packed(rows), self.cap)
         self.held.update(block.state())
         yield block.rows(key, changed)
 
