@@ -1,19 +1,18 @@
 """Byte-level BPE by recursive DuckDB queries inside Spark tasks.
 
-A task keeps token-position rows of the words it has not met lately. One recursive query joins neighbouring
-positions with the merge table, contracts the leftmost pair of minimum rank of every word, and repeats this
+A task keeps token rows of the words it has not met lately; each names the token at its right. One recursive query
+looks pairs up in the merge table, contracts the leftmost pair of minimum rank of every word, and repeats this
 until no word has a pair left. A query keeps the rows of all its rounds, at most the square of a word's length, so the
 words of one query are counted by their squares. Decoding joins ids with the vocabulary and puts the bytes together by
 an ordered aggregation. No step shuffles: every text is encoded where it was read.
 
-Memory of a worker: one slice of texts, two generations of ``REMEMBERED`` bytes of encoded words, which it keeps from
-task to task, and at most half of ``ROWS_AT_A_TIME`` token rows.
+Memory of a worker: one slice of texts, two generations of ``REMEMBERED`` bytes and a slice of encoded words, which it
+keeps until another operator works in it, and at most half of ``ROWS_AT_A_TIME`` token rows.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import re
 from array import array
@@ -24,9 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from pointweave.llm.common import schema_with, sliced, texts_of, with_columns
+from pointweave.llm.common import kept, schema_with, sliced, texts_of, with_columns
 
-REMEMBERED = 56 << 20  # bytes of one generation; a worker keeps two of them
+REMEMBERED = 40 << 20  # bytes that fill a generation; a worker keeps two of them
 ENTRY = 150  # bytes that an entry takes beside its text and ids
 ROWS_AT_A_TIME = 2_500_000  # sum of the squared lengths of the words in one recursive query
 TEXT_BYTES = 2 << 20  # text encoded at a time
@@ -38,19 +37,24 @@ _WS = "\t-\r \x85\xa0  -     　"
 # No match of the pattern runs from other characters into white space, so these parts encode independently.
 _PARTS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
-# A candidate is made << 40 | pos << 8 | size, so the minimum is the leftmost pair of least rank.
+# Of a pair that is contracted the right row stays, for it knows the next token. A candidate is made << 40 | pos << 8 |
+# size, so the minimum is the leftmost pair of least rank.
 _CONTRACT = """
-WITH RECURSIVE state(pos, word, tok, size, step) AS (
-  SELECT pos, word, tok::BIGINT, 1::BIGINT, 0 FROM start
+WITH RECURSIVE state(word, pos, size, tok, nxt, made, step) AS (
+  SELECT s.word, s.pos, 1::SMALLINT, s.tok, s.nxt, p.made, 0::SMALLINT
+  FROM start s LEFT JOIN pairs p ON p.pair = ((s.tok::BIGINT << 32) | s.nxt)
   UNION ALL
-  SELECT s.pos, s.word, CASE WHEN s.pos = b.pos THEN b.made ELSE s.tok END,
-         CASE WHEN s.pos = b.pos THEN b.size ELSE s.size END, s.step + 1
-  FROM state s JOIN (
-    SELECT word, best >> 40 AS made, (best >> 8) & 4294967295 AS pos, best & 255 AS size FROM (
-      SELECT l.word, min(p.made | (l.pos << 8)) AS best
-      FROM state l JOIN state r ON r.pos = l.pos + l.size JOIN pairs p ON p.pair = ((l.tok << 32) | r.tok)
-      GROUP BY l.word)) b ON s.word = b.word
-  WHERE s.pos <= b.pos OR s.pos >= b.pos + b.size
+  SELECT n.word, n.pos, n.size, n.tok, n.nxt, p.made, n.step FROM (
+    SELECT s.word, CASE WHEN s.pos = b.stop THEN b.pos ELSE s.pos END AS pos,
+           CASE WHEN s.pos = b.stop THEN (s.pos + s.size - b.pos)::SMALLINT ELSE s.size END AS size,
+           CASE WHEN s.pos = b.stop THEN b.made ELSE s.tok END AS tok,
+           CASE WHEN s.pos + s.size = b.pos THEN b.made ELSE s.nxt END AS nxt, (s.step + 1)::SMALLINT AS step
+    FROM state s JOIN (
+      SELECT word, (best >> 40)::INTEGER AS made, ((best >> 8) & 4294967295)::INTEGER AS pos,
+             (((best >> 8) & 4294967295) + (best & 255))::INTEGER AS stop
+      FROM (SELECT word, min((made::BIGINT << 40) | (pos::BIGINT << 8) | size) AS best
+            FROM state WHERE made IS NOT NULL GROUP BY word)) b ON s.word = b.word
+    WHERE s.pos <> b.pos) n LEFT JOIN pairs p ON p.pair = ((n.tok::BIGINT << 32) | n.nxt)
 )
 SELECT s.word, s.tok FROM state s JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) last
   ON s.word = last.word AND s.step = last.step ORDER BY s.pos
@@ -69,23 +73,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memory:
-    """Entries of the last slices: when a generation is full it becomes the old one, and the one before is forgotten."""
+    """Entries of the last slices: when a generation is full it becomes the old one, and the one before is forgotten.
+
+    All entries that a slice asks for are in ``young`` until ``turn`` ends the slice.
+    """
 
     def __init__(self, size: int):
         self.size, self.held, self.young, self.old = size, 0, {}, {}
 
-    def known(self, keys: set[str]) -> dict[str, bytes]:
-        found = {k: self.young[k] for k in keys & self.young.keys()}
-        again = {k: self.old[k] for k in (keys - found.keys()) & self.old.keys()}
+    def lacking(self, keys: set[str]) -> set[str]:
+        """The keys that have no entry; the entries of the others are in ``young``."""
+        lacking = keys - self.young.keys()
+        again = {k: self.old[k] for k in lacking & self.old.keys()}
         self.add(again)
-        return found | again
+        return lacking - again.keys()
 
     def add(self, entries: dict[str, bytes]) -> None:
-        for key, ids in entries.items():
-            self.held += len(key) + len(ids) + ENTRY
-            if self.held > self.size:
-                self.held, self.young, self.old = 0, {}, self.young
-            self.young[key] = ids
+        self.young.update(entries)
+        self.held += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY * len(entries)
+
+    def turn(self) -> None:
+        if self.held > self.size:  # a generation that one huge text has made far too large is forgotten at once
+            self.old = self.young if self.held <= 2 * self.size else {}
+            self.held, self.young = 0, {}
 
 
 class Codec:
@@ -105,18 +115,18 @@ class Codec:
         """The merge table; workers that only decode do without it."""
         if "pairs" in self.loaded:
             return
-        left, right, made = array("q"), array("q"), array("q")
+        left, right, made = array("q"), array("q"), array("i")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), made.append(rank << 40 | len(token))
+                    left.append(a), right.append(b), made.append(rank)
         self._load("pairs", pair=np.asarray(left) << 32 | np.asarray(right), made=np.asarray(made))
 
     def _with_vocabulary(self) -> None:
         # One character for each byte, because aggregates put strings together, not blobs.
         if "vocabulary" not in self.loaded:
-            self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int64), piece=[t.decode("latin-1") for t in self.ranks])
+            self._load("vocabulary", id=np.array(list(self.ranks.values()), np.int32), piece=[t.decode("latin-1") for t in self.ranks])
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("loading", pa.table(columns))
@@ -130,8 +140,9 @@ class Codec:
         sizes = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        # A gap of one position between words keeps their ends from meeting.
-        self.db.register("start", pa.table({"pos": np.arange(len(tok), dtype=np.int64) + word, "word": word, "tok": tok}))
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[np.cumsum(sizes) - 1] = -1  # no pair has it
+        self.db.register("start", pa.table({"pos": np.arange(len(tok), dtype=np.int32), "word": word, "tok": tok, "nxt": nxt}))
         out = self.db.sql(_CONTRACT).to_arrow_table()
         self.db.unregister("start")
         ends = np.cumsum(np.bincount(out["word"].to_numpy(), minlength=len(words))) * 4
@@ -171,25 +182,22 @@ class Codec:
     def _ids_of(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of distinct words."""
         ids, open_ = {}, []
-        for word in words:
-            raw = word.encode()
+        for word, raw in zip(words, map(str.encode, words)):
             whole = self.ranks.get(raw)
             if whole is not None:
                 ids[word] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
                 ids[word] = self._long(raw)
             else:
-                open_.append((word, raw))
-        open_.sort(key=lambda w: len(w[1]))  # words of one query end after about as many rounds
-        at = 0
+                open_.append((len(raw), word, raw))
+        open_.sort(key=lambda w: w[0])  # words of one query end after about as many rounds
+        rows = np.cumsum([size * size for size, _, _ in open_])
+        at = done = 0
         while at < len(open_):
-            stop, size = at, 0
-            while stop < len(open_) and size + len(open_[stop][1]) ** 2 <= ROWS_AT_A_TIME:
-                size += len(open_[stop][1]) ** 2
-                stop += 1
+            stop = int(np.searchsorted(rows, done + ROWS_AT_A_TIME, side="right"))
             block = open_[at:stop]
-            ids.update(zip([w for w, _ in block], self._contract([raw for _, raw in block])))
-            at = stop
+            ids.update(zip([word for _, word, _ in block], self._contract([raw for _, _, raw in block])))
+            at, done = stop, int(rows[stop - 1])
         return ids
 
     def _split(self, part: str) -> list[str]:
@@ -199,18 +207,13 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_PARTS.findall(t) for t in texts]
-        needed = set().union(*cut)
-        packed = self.memory.known(needed)
-        split = {part: self._split(part) for part in needed - packed.keys()}
-        words = set().union(*split.values()) - packed.keys()
-        ids = self.memory.known(words - split.keys())
-        new = self._ids_of(words - ids.keys())
-        self.memory.add(new)
-        ids |= new | packed
-        made = {part: b"".join([ids[w] for w in words]) for part, words in split.items() if len(words) > 1}
-        self.memory.add(made)
-        ids |= made
-        return [b"".join([ids[p] for p in parts]) for parts in cut]
+        split = {part: self._split(part) for part in self.memory.lacking(set().union(*cut))}
+        self.memory.add(self._ids_of(self.memory.lacking(set().union(*split.values()))))
+        ids_of = self.memory.young.__getitem__
+        self.memory.add({part: b"".join(map(ids_of, words)) for part, words in split.items() if len(words) > 1})
+        packed = [b"".join(map(ids_of, parts)) for parts in cut]
+        self.memory.turn()
+        return packed
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         self._with_vocabulary()
@@ -222,9 +225,9 @@ class Codec:
                 size += len(packed[stop]) // 4
                 stop += 1
             block = packed[at:stop]
-            ids = np.frombuffer(b"".join(block), "<u4").astype(np.int64)
-            text = np.repeat(np.arange(len(block)), [len(p) // 4 for p in block])
-            self.db.register("ids", pa.table({"text": text, "pos": np.arange(len(ids)), "id": ids}))
+            ids = np.frombuffer(b"".join(block), "<i4")
+            text = np.repeat(np.arange(len(block), dtype=np.int32), [len(p) // 4 for p in block])
+            self.db.register("ids", pa.table({"text": text, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             found = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("ids")
             if sum(found["unknown"].to_pylist()):
@@ -235,10 +238,9 @@ class Codec:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec, with its tables; they are loaded once for all tasks of a Python worker."""
-    return Codec(path, pattern)
+    """The worker's codec, with its tables; a Python worker loads them once for its tasks in a row."""
+    return kept((path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -260,7 +262,7 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
 def _coder(path: str, pattern: str, text: str, back: bool):
     def run(batches):
         held = codec(path, pattern)
-        for batch in sliced(batches, text, TEXT_BYTES):
+        for batch in sliced(batches, text, TEXT_BYTES, (path, pattern)):
             ids = held.encode(texts_of(batch, text))
             more = {"decoded": pa.array(held.decode(ids), pa.binary())} if back else {}
             yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
@@ -276,7 +278,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     schema = schema_with(df, decoded="binary")
 
     def run(batches):
-        for batch in sliced(batches, ids, TEXT_BYTES):
+        for batch in sliced(batches, ids, TEXT_BYTES, (path, pattern)):
             packed = [p or b"" for p in batch[ids].to_pylist()]
             yield with_columns(batch, decoded=pa.array(codec(path, pattern).decode(packed), pa.binary()))
 

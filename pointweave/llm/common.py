@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,31 @@ def hand_back() -> None:
         trim(0)
 
 
-def sliced(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+_kept: dict = {}  # of this worker: the tables of the operator that worked in it last
+
+
+def kept(key: Hashable, make: Callable):
+    """What ``make`` gives, kept from task to task until tables of another key, or a task without any, take its place."""
+    if key not in _kept:
+        let_go(key)
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(but: Hashable = None) -> None:
+    """Drop the kept tables unless they are those of ``but``: a worker outlives its stage and serves later ones."""
+    if _kept.keys() - {but}:
+        _kept.clear()
+        hand_back()
+
+
+def sliced(batches, column: str, limit: int = SLICE_BYTES, keeping: Hashable = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays within ``limit`` bytes, one row at least.
 
-    At the end of a task freed memory goes back to the system.
+    At the start of a task kept tables of a key other than ``keeping`` are dropped; at its end freed memory goes back
+    to the system.
     """
+    let_go(keeping)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -1,13 +1,16 @@
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from pointweave.llm import bpe
+from pointweave.llm import bpe, common
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
@@ -77,3 +80,25 @@ def test_empty_table_clash_and_unknown_id(docs, spark):
         bpe.encode(docs(["x"]).withColumnRenamed("lang", "IDS"), PATH, P.PATTERN)
     with pytest.raises(ValueError, match="vocabulary"):
         CODEC.decode([np.array([60000], "<u4").tobytes()])
+
+
+def test_a_worker_keeps_the_tables_of_the_operator_that_worked_in_it_last():
+    held = bpe.codec(PATH, P.PATTERN)
+    own = bpe._coder(PATH, P.PATTERN, "text", True)
+    batch = pa.RecordBatch.from_pydict({"text": ["one two", None]})
+    assert [b["n_tokens"].to_pylist() for b in own([batch])] == [[2, 0]]
+    assert bpe.codec(PATH, P.PATTERN) is held
+    list(common.sliced([batch], "text"))
+    gone = weakref.ref(held)
+    del held, own
+    gc.collect()
+    assert gone() is None
+
+
+def test_memory_is_bounded_after_a_huge_text(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100 * bpe.ENTRY)
+    small = bpe.Codec(PATH, P.PATTERN)
+    text = " ".join(f"word{i}of" for i in range(5000))
+    for t in ["a few words", text, "a few words"]:
+        assert ids(small.encode([t])[0]) == LIBRARY.encode_ordinary(t)
+    assert len(small.memory.young) + len(small.memory.old) < 300
