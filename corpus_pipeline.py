@@ -43,9 +43,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes they decode to."""
+    """Token ids of every document, with digests of the ids and of the bytes they decode to.
+
+    Small memories and slices: the workers share an executor with what the stages before have left in it.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.encode_and_decode(docs.select("doc_id", "text"), path, pattern)
+    decoded = bpe.encode_and_decode(docs.select("doc_id", "text"), path, pattern, remembered=8 << 20, at_a_time=1 << 19)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -101,13 +101,13 @@ class Memory:
 class Codec:
     """Encoder and decoder of one vocabulary, with an embedded database of its tables."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int | None = None):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         if max(map(len, self.ranks)) > 255:
             raise ValueError("a token of more than 255 bytes does not fit the packed rows")
-        self.memory = Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED if remembered is None else remembered)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         self.loaded: set[str] = set()
 
@@ -238,9 +238,9 @@ class Codec:
         return out
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, remembered: int | None = None) -> Codec:
     """The worker's codec, with its tables; a Python worker loads them once for its tasks in a row."""
-    return kept((path, pattern), lambda: Codec(path, pattern))
+    return kept((path, pattern, remembered), lambda: Codec(path, pattern, remembered))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -254,15 +254,20 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     return df.mapInArrow(_coder(path, pattern, text, False), schema_with(df, ids="binary", n_tokens="bigint"))
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker and one database."""
-    return df.mapInArrow(_coder(path, pattern, text, True), schema_with(df, ids="binary", n_tokens="bigint", decoded="binary"))
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", *, remembered: int | None = None,
+                      at_a_time: int = TEXT_BYTES) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that each task needs one Python worker and one database.
+
+    A worker with little memory may keep generations of ``remembered`` bytes and handle ``at_a_time`` bytes of text:
+    it then encodes words anew more often, with the same results.
+    """
+    return df.mapInArrow(_coder(path, pattern, text, True, remembered, at_a_time), schema_with(df, ids="binary", n_tokens="bigint", decoded="binary"))
 
 
-def _coder(path: str, pattern: str, text: str, back: bool):
+def _coder(path: str, pattern: str, text: str, back: bool, remembered: int | None = None, at_a_time: int = TEXT_BYTES):
     def run(batches):
-        held = codec(path, pattern)
-        for batch in sliced(batches, text, TEXT_BYTES, (path, pattern)):
+        held = codec(path, pattern, remembered)
+        for batch in sliced(batches, text, at_a_time, (path, pattern, remembered)):
             ids = held.encode(texts_of(batch, text))
             more = {"decoded": pa.array(held.decode(ids), pa.binary())} if back else {}
             yield with_columns(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
@@ -278,7 +283,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     schema = schema_with(df, decoded="binary")
 
     def run(batches):
-        for batch in sliced(batches, ids, TEXT_BYTES, (path, pattern)):
+        for batch in sliced(batches, ids, TEXT_BYTES, (path, pattern, None)):
             packed = [p or b"" for p in batch[ids].to_pylist()]
             yield with_columns(batch, decoded=pa.array(codec(path, pattern).decode(packed), pa.binary()))
 

@@ -102,3 +102,10 @@ def test_memory_is_bounded_after_a_huge_text(monkeypatch):
     for t in ["a few words", text, "a few words"]:
         assert ids(small.encode([t])[0]) == LIBRARY.encode_ordinary(t)
     assert len(small.memory.young) + len(small.memory.old) < 300
+
+
+def test_little_memory_gives_the_same_rows(docs):
+    df = docs(TEXTS)
+    one = {r.doc_id: r for r in bpe.encode_and_decode(df, PATH, P.PATTERN).collect()}
+    two = {r.doc_id: r for r in bpe.encode_and_decode(df, PATH, P.PATTERN, remembered=500, at_a_time=100).collect()}
+    assert one == two and len(one) == len(TEXTS)
