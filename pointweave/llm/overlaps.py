@@ -7,10 +7,12 @@ Every candidate pair is then decided on the full sets (hashes have 64 bits), so
 
 Only distinct sets are indexed, so copies cost one row. Sets are made again for those texts only that share a bucket. First
 every member of a bucket is compared with its hub, the member with the least digest, which is the same in all buckets of a
-group. Buckets whose members are connected then are done. Of the others, those with the same members count once. What is
-left to compare there are the members outside the bucket's largest component, mostly few, with all the others: both are dealt over
-blocks of about ``BLOCK``, and a block of the ones meets a block of the others in one group. A set is sent once for each block
-it meets and not once for each member. Groups hold at most a few hundred sets, whatever the bucket.
+group. Buckets whose members are connected then are done. Of the others, those with the same members count once, and buckets
+that share members make a cluster. A cluster is compared as one, so that a set is sent once and not once for each of its
+buckets, unless its buckets one by one need fewer rows. What is left to compare are the members outside the largest component with all
+the others: both are dealt over blocks, and a block of the ones meets a block of the others in one group. Blocks grow with the number
+of sets, so that a set is sent about as often whatever the size of the table, up to ``MOST`` members or ``BLOCK_BYTES``; a group
+holds two blocks. It counts shared shingles by an index of its sets and leaves a forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ _FLIP, _FACTOR = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTOR |= np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FIT = "9 * least(n, m) >= 4 * (n + m)"  # what both may share is enough for the threshold
-BLOCK = 64  # members of a bucket compared at a time
+LEAST, MOST = 256, 4096  # members of a block: the share of one task, within these bounds
+BLOCK_BYTES = 4 << 20  # of the sets of a block, about
 FILTER_BITS = 1 << 24  # of the bitmap of candidates that tasks ask before they make a set
 FILTERED = 1 << 20  # candidates up to which the bitmap is of use
 
@@ -142,25 +145,69 @@ def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """Links between a block of outer members of a bucket and one of all its members; a pair counts in the first bucket that it shares."""
-    band = table["band"][0].as_py()
-    node, root, n, outer, asks = (table[c].to_numpy() for c in ("node", "root", "n", "outer", "asks"))
-    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    """A forest of the links between the sets that ask and those that answer; a pair of both is compared in one direction."""
+    node, root, outer, asks, answers = (table[c].to_numpy() for c in ("node", "root", "outer", "asks", "answers"))
+    root = root.copy()
     members = [np.frombuffer(m.as_buffer(), "<u8") for m in table["members"]]
+    n, hashes = np.array([len(m) for m in members]), np.concatenate(members)
+    first = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    _, shingle = np.unique(hashes, return_inverse=True)
+    holders = np.repeat(np.arange(len(n)), n)[np.argsort(shingle, kind="stable")]
+    ends = np.cumsum(np.bincount(shingle))
     a, b = [], []
     for i in np.flatnonzero(asks).tolist():
-        # Two outer members meet in both directions and are compared in one of them.
-        facing = ~asks & (root != root[i]) & (~outer | (node > node[i])) & (9 * np.minimum(n, n[i]) >= 4 * (n + n[i]))
-        j = np.flatnonzero(facing)
-        j = j[(bands[j] == bands[i]).argmax(axis=1) == band]
-        for k in j.tolist():
-            both = np.sort(np.concatenate([members[i], members[k]]))
-            shared = np.count_nonzero(both[1:] == both[:-1])
-            if 5 * shared >= 4 * (len(both) - shared):
-                a.append(node[i]), b.append(node[k])
+        facing = answers & (root != root[i]) & (~outer | (node > node[i])) & (9 * np.minimum(n, n[i]) >= 4 * (n + n[i]))
+        if not facing.any():
+            continue
+        own = shingle[first[i]:first[i + 1]]
+        begin = np.where(own > 0, ends[own - 1], 0)
+        size = ends[own] - begin
+        place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(holders[place], minlength=len(n))
+        near = np.flatnonzero(facing & (9 * shared >= 4 * (n + n[i])))
+        for r, k in zip(*np.unique(root[near], return_index=True)):
+            a.append(node[i]), b.append(node[near[k]])
+            root[root == r] = root[i]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _dealt(inside: DataFrame) -> DataFrame:
+    """Members of open buckets (band, value, low, node, root, n) dealt over groups (band, value, low, high).
+
+    Any two members of a bucket with different roots meet in a group, where one ``asks`` and the other ``answers``.
+    ``low`` of the input is the least node of its bucket. A cluster of buckets has band -1.
+    """
+    whole = component_roots(inside.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("root", "cluster")
+    labelled = cut(inside.join(whole, "node", "left").select(
+        F.coalesce("cluster", "node").alias("cluster"), "band", "value", "node", "root", "n"))
+    as_one = labelled.select("cluster", F.lit(-1).alias("band"), F.col("cluster").alias("value"), "node", "root", "n").distinct()
+    units = cut(labelled.unionByName(as_one))
+    parts = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = min(MOST, max(LEAST, units.where("band = -1").count() // parts))
+
+    key = ["cluster", "band", "value"]
+    blocks = lambda c, n: F.greatest(F.ceil(c / block), F.ceil(n * 8 / BLOCK_BYTES))
+    by_root = units.groupBy(*key, "root").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    size = by_root.groupBy(*key).agg(F.max(F.struct("c", "m", "root")).alias("main"), F.sum("c").alias("c"), F.sum("m").alias("m")).select(
+        *key, "main", (F.col("c") - F.col("main.c")).alias("others"), blocks(F.col("c"), F.col("m")).alias("blocks"),
+        blocks(F.col("c") - F.col("main.c"), F.col("m") - F.col("main.m")).alias("outer_blocks"))
+    size = cut(size.withColumn("sent", F.expr("others * (blocks + outer_blocks - 1) + main.c * outer_blocks")))
+    best = size.groupBy("cluster").agg(F.expr("sum(if(band < 0, sent, 0)) <= sum(if(band < 0, 0, sent))").alias("one"))
+    chosen = cut(size.join(best, "cluster").where(F.col("one") == (F.col("band") < 0)).select("band", "value", F.col("main.root").alias("main"), "blocks", "outer_blocks"))
+
+    place = lambda blocks: F.pmod(F.xxhash64("node", F.lit(blocks)), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    met = units.join(chosen.repartition(F.xxhash64("band", "value")), ["band", "value"]).select(
+        "band", "value", "node", "root", (F.col("root") != F.col("main")).alias("outer"),
+        "blocks", "outer_blocks", place("blocks").alias("own"), place("outer_blocks").alias("own_outer"))
+    row = ["band", "value", "low", "high", "node", "root", "outer", "asks", "answers"]
+    asks = met.where("outer").withColumn("high", every("blocks")).withColumns(
+        {"low": F.col("own_outer"), "asks": F.lit(True), "answers": F.col("high") == F.col("own")}).select(*row)
+    answers = met.withColumn("low", every("outer_blocks")).where("not outer or low <> own_outer").withColumns(
+        {"high": F.col("own"), "asks": F.lit(False), "answers": F.lit(True)}).select(*row)
+    return asks.unionByName(answers)
+
+
 def near_links(classes: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """Links (a, b) that connect exactly the near copies among ``classes`` (node, smallest, n, bands), transitively."""
     rows = classes.select("node", F.col("n").cast("int"), F.posexplode("bands").alias("band", "value"))
@@ -178,18 +225,11 @@ def near_links(classes: DataFrame, texts: DataFrame, text: str = "text") -> Data
     # A bucket of two is decided; of buckets with the same members the first one stands for all.
     rooted = cut(_rooted(met.where("size > 2").select(*key, "node", "n", "size"), links))
     parts = rooted.groupBy(*key, "root").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
-    apart = parts.groupBy(*key).agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.bit_xor("members").alias("members"),
-                                    F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("main.c") < F.col("size"))
-    one = apart.groupBy("members", "size", "low", "high").agg(F.min(F.struct(*key, "main")).alias("k")).select(
-        "k.*", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("k.main.c")) / BLOCK).alias("outer_blocks"))
-    dealt = rooted.join(cut(one).repartition(F.xxhash64(*key)), key).withColumn("outer", F.col("root") != F.col("main.root"))
-    place = lambda blocks: F.pmod(F.xxhash64("node", F.lit("block")), F.col(blocks))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    row = [*key, "low", "high", "node", "root", "n", "outer", "asks"]
-    asks = dealt.where("outer").withColumns({"low": place("outer_blocks"), "asks": F.lit(True)}).withColumn("high", every("blocks")).select(*row)
-    answers = dealt.withColumns({"high": place("blocks"), "asks": F.lit(False)}).withColumn("low", every("outer_blocks")).select(*row)
-    wide = cut(cut(asks.unionByName(answers)).join(classes.select("node", "bands"), "node"))
-    placed = wide.join(sets, "node")
+    apart = parts.groupBy(*key).agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.bit_xor("members").alias("members"),
+                                    F.min("low").alias("low"), F.max("high").alias("high")).where("roots > 1")
+    one = cut(apart.groupBy("members", "size", "low", "high").agg(F.min(F.struct(*key)).alias("k")).select("k.*", "low"))
+    inside = cut(rooted.join(one.repartition(F.xxhash64(*key)), key).select(*key, "low", "node", "root", "n"))
+    placed = cut(_dealt(inside)).join(sets, "node")
     more = placed.groupBy(*key, "low", "high").applyInArrow(_blocks, "a bigint, b bigint")
     return links.unionByName(cut(more))
 

@@ -54,6 +54,54 @@ def test_components_are_those_of_all_pairs(docs):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def crowd():
+    """Two crowds of texts, each at about the threshold, whose members share many buckets."""
+    rng, out = random.Random(3), []
+    for size in (300, 120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(100), rng.randint(2, 5)):
+                copy[at] = f"w{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_a_member_of_many_buckets_is_sent_few_times(docs, monkeypatch):
+    rows, sent, whole = crowd(), [], overlaps.cut
+
+    def cut(df, *more):
+        written = whole(df, *more)
+        if "asks" in df.columns:
+            sent.append(written.count())
+        return written
+
+    monkeypatch.setattr(overlaps, "cut", cut)
+    got = {r.doc_id: r.component_id for r in overlaps.near_copies(docs(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_components(rows)
+    assert 0 < max(sent) <= 4 * len(rows)
+
+
+def test_any_two_open_members_of_a_bucket_meet_in_one_direction(docs, spark, monkeypatch):
+    rng = random.Random(8)
+    buckets = [rng.sample(range(30), 12) for _ in range(8)] + [rng.sample(range(100, 400), 60) for _ in range(3)] + [[500 + i, 530 + i, 560] for i in range(20)]
+    rows = [(b % 24, b, min(nodes), i, i % 7 + 1000 * (i // 7 % 2), 50) for b, nodes in enumerate(buckets) for i in nodes]
+    inside = spark.createDataFrame(rows, "band int, value long, low long, node long, root long, n int")
+    for least in (4, 256):
+        monkeypatch.setattr(overlaps, "LEAST", least), monkeypatch.setattr(overlaps, "MOST", least)
+        groups = {}
+        for r in overlaps._dealt(inside).collect():
+            groups.setdefault((r.band, r.value, r.low, r.high), []).append(r)
+        met = set()
+        for members in groups.values():
+            assert len({r.node for r in members}) == len(members) <= 8 * least
+            met |= {frozenset((x.node, y.node)) for x in members if x.asks for y in members
+                    if y.answers and x.root != y.root and (not y.outer or y.node > x.node)}
+        root = {i: r for _, _, _, i, r, _ in rows}
+        want = {frozenset((i, j)) for nodes in buckets for i in nodes for j in nodes if root[i] != root[j]}
+        assert want <= met
+
+
 def test_null_keys_repeated_rows_and_empty_table(docs):
     df = docs(["a b c d e f", "a b c d e f", "x y z"])
     df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
