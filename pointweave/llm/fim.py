@@ -88,7 +88,7 @@ class Cutter:
         low, high = self.starts.copy(), self.ends.copy()  # the unit behind the cut begins before high, if at all
         while (low < high).any():
             middle = (low + high) // 2
-            enough = self.count(middle + 1) >= wanted
+            enough = self.count(np.minimum(middle + 1, self.ends)) >= wanted  # a text that is settled at its end asks for no byte beyond it
             low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
         return np.where(units > 0, low, self.starts)
 

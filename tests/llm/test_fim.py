@@ -49,6 +49,12 @@ def test_cuts_fall_where_units_begin(texts, unit):
             assert g == len(t[:0 if u == 0 else s[u] if u < len(s) else len(t)].encode())
 
 
+@pytest.mark.parametrize("unit", ["char", "word"])
+def test_a_text_settled_at_the_end_of_a_full_word_of_bits_asks_for_nothing_beyond(unit):
+    cutter = fim.Cutter([b"a" * 60, b"aaa"], unit)  # 63 bytes: the search in the first goes on when the second has come to its end
+    assert cutter.place(np.array([1, 3])).tolist() == ([1, 63] if unit == "char" else [60, 63])
+
+
 def test_rows_are_those_of_the_plain_version_and_are_restored(docs):
     df = docs(TEXTS).drop("n_chars").withColumnRenamed("lang", "Other Name")
     rows = fim.rearrange(df).withColumn("back", fim.restored(F.col("output"), F.col("form"))).collect()
