@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from pointweave.operators import components as CC, mesh as M, neighbors as N, outliers as O, tiles as T, volume as W
+from pointweave.sources import tables
 
 SCHEMA = "point_id long, x double, y double, z double"
 
@@ -152,3 +153,16 @@ def test_faces_are_met_in_a_merge_join(spark):
     hits = M.ray_hits(points, M.with_corners(v, f))
     assert [(r.face_id, r.t) for r in hits.collect()] == [(0, 1.0)]
     assert "ShuffledHashJoin" not in hits._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_order_lines_of_large_keys_have_ids_of_their_own(spark, tmp_path):
+    large = 53_999_999  # of a table 360 times as large as sf0.1
+    keys = [(o, line, p, s) for o in (0, 11_529_213, 11_529_214, large - 1, large, 4_000_000_000) for line in (1, 7) for p, s in ((0, 0), (7_199_999, 359_999), (7_199_999, 3))]
+    keys += [(large, 3, None, 1), (large, 3, 1, None), (None, 3, 1, 1), (large, None, 1, 1)]
+    rows = spark.createDataFrame([(*k, 1.0, 1.0, 0.05, 0.02) for k in keys], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r)[:4]: r.id for r in rows.withColumn("id", tables.line_id()).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "id").collect()}
+    fold = {k: ((k[0] * 8 + k[1]) * 10_000_000 + k[2]) * 10_000 + k[3] for k in keys[:36]}
+    assert all(got[k] == fold[k] if fold[k] < 2 ** 63 else got[k] < 0 for k in fold) and len({got[k] for k in fold}) == 36
+    assert all(got[k] is None for k in keys[36:])
+    assert sorted(r.point_id for r in tables.lineitem_points(spark, str(tmp_path)).select("point_id").where("point_id is not null").collect()) == sorted(got[k] for k in fold)
