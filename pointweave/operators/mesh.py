@@ -370,6 +370,22 @@ def _covers(px, py, ends) -> Column:
     return crossings % 2 == 1
 
 
+def faces_above(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
+    """For rows of a point and a triangle: is the triangle above the point, by the rule of ``_covers``?"""
+    x, y, z = points.T
+    normal = np.cross(faces[:, 1] - faces[:, 0], faces[:, 2] - faces[:, 0])
+    crossings = np.zeros(len(points), np.int64)
+    for k in range(3):
+        (ax, ay), (bx, by) = faces[:, k, :2].T, faces[:, (k + 1) % 3, :2].T
+        low, high, up = np.minimum(ay, by), np.maximum(ay, by), ay < by
+        low_x, high_x = np.where(up, ax, bx), np.where(up, bx, ax)
+        at = low_x + (y - low) * (high_x - low_x) / np.where(high > low, high - low, 1)
+        crossings += (low <= y) & (y < high) & (x < at)
+    slope = np.where(normal[:, 2] != 0, normal[:, 2], 1)
+    height = faces[:, 0, 2] - (normal[:, 0] * (x - faces[:, 0, 0]) + normal[:, 1] * (y - faces[:, 0, 1])) / slope
+    return (normal[:, 2] != 0) & (height > z) & (crossings % 2 == 1)
+
+
 def inside_mesh(points: DataFrame, placed: DataFrame, size: float = 1.0, tolerance: float = 1e-9, by: list[str] | None = None) -> DataFrame:
     """(point_id, mesh_id, side, face_id): closed meshes that hold the point, ``inside`` or ``on`` their surface.
 

@@ -10,14 +10,18 @@ point finds the same name, edges share their points with all their faces, and th
 Faces are cut one by one by a constrained triangulation with exact arithmetic on a fine grid; all that is around
 it are joins and groupings.
 
-A face that meets very many others is quartered together with its mesh first (``crowd``), so the constraints of one face
-stay bounded.
+Jobs of at most ``crowd`` faces a side and ``PAIRS`` pairs of faces are dealt in bundles of bounded size, and the task that holds a bundle
+takes all these steps by the same rules in memory: a pair of small meshes is shuffled once. Larger jobs go by joins. There a face that meets very many others
+is quartered together with its mesh first, so the constraints of one face stay bounded.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pointweave.functions import keys as K, vector as V
@@ -29,10 +33,13 @@ from pointweave.operators.sites import XYZ
 from pointweave.session import cut, fan_out
 
 CORNERS = [f"{n}{c}" for n in "abc" for c in XYZ]
+FACES = ["job", "side", "face_id", "parent", "k0", "k1", "k2", *CORNERS]  # columns of refined faces
 VERTEX, EDGE, FACE = range(3)  # what part of its face a point lies on
 CROSSING, ON_LEFT, ON_RIGHT = range(3)  # a segment cuts both faces, or the side of one lies in the plane of the other
 EPS = 1e-9  # relative to the size of the two faces
-CROWD = 2000  # faces that a face may meet before its mesh is quartered
+CROWD = 2000  # faces that a face may meet before its mesh is quartered; jobs of no more faces are held whole
+BUNDLE = 8192  # faces of the jobs that a task holds at a time, about
+PAIRS = 1 << 18  # pairs of faces of a job that is held whole, and those tested at a time
 
 
 # Contacts of two faces ----------------------------------------------------------------------
@@ -197,7 +204,7 @@ def intersection_loops(met: DataFrame) -> DataFrame:
     A segment runs along the cross product of the outward normals, left times right. One that several pairs of faces
     report, as along an edge, counts once, and not at all if the surfaces only touch there. ``loop`` is its smallest
     edge; ``next`` is null at the end of a chain that is open. Where several segments leave a point they are taken in
-    the order of their names.
+    the order of their names. Numbers of edges are unique within a job.
     """
     crossing = met.where((F.col("role") == CROSSING) & (F.col("p") != F.col("q")))
     ahead = F.col("p") < F.col("q")
@@ -330,7 +337,7 @@ def refine(left: DataFrame, right: DataFrame, met: DataFrame) -> tuple[DataFrame
     job = left.schema["job"].dataType.simpleString()
     kind = f"job {job}, side string, parent bigint, k0 string, k1 string, k2 string, s0 boolean, s1 boolean, s2 boolean"
     rows = cut(rows)
-    new = fan_out(rows.where(changed), "parent").mapInArrow(_cut_rows, kind)
+    new = cut(fan_out(rows.where(changed), "parent").mapInArrow(_cut_rows, kind))  # the sort samples its rows first, so they would be made twice
     same = rows.where(~changed).select("job", "side", "parent", "k0", "k1", "k2", *[F.lit(False).alias(f"s{i}") for i in range(3)])
     faces = cut(dense_numbers(new.unionByName(same), ["job", "side", "parent", "k0", "k1", "k2"], "face_id"))
     edges = F.explode(F.array(*[F.struct(F.col(f"s{i}").alias("seam"), F.col(f"k{i}").alias("a"), F.col(f"k{(i + 1) % 3}").alias("b")) for i in range(3)]))
@@ -376,35 +383,26 @@ def classified(faces: DataFrame, seams: DataFrame, left: DataFrame, right: DataF
     return cut(out)
 
 
-def select_faces(faces: DataFrame, places: DataFrame, operation: str, open_left: bool = False) -> DataFrame:
-    """(job, side, face_id, parent, k0, k1, k2, ax .. cz): the faces of the result, those of a subtracted solid turned round."""
+def select_faces(placed: DataFrame, operation: str, open_left: bool = False) -> DataFrame:
+    """(job, side, face_id, parent, k0, k1, k2, ax .. cz): of faces with their ``place`` those of the result, those of a subtracted solid turned round."""
     rules = TRIMMED if open_left else KEPT
     if operation not in rules:
         raise ValueError(f"{operation!r} is none of {sorted(rules)}")
-    rows = faces.join(places.select("face_id", "place"), "face_id")
-    out = None
-    for side, (kept, turned) in rules[operation].items():
-        part = rows.where((F.col("side") == side) & F.col("place").isin(*kept)).drop("place").select(faces.columns)
-        if turned:
-            swap = {"k1": "k2", "k2": "k1", **{f"b{c}": f"c{c}" for c in XYZ}, **{f"c{c}": f"b{c}" for c in XYZ}}
-            part = part.select(*[F.col(swap.get(c, c)).alias(c) for c in faces.columns])
-        out = part if out is None else out.unionByName(part)
-    return out
+    stays, turned = F.lit(False), F.lit(False)
+    for side, (kept, round_) in rules[operation].items():
+        own = F.col("side") == side
+        stays = stays | (own & F.col("place").isin(*kept))
+        turned = turned | (own & F.lit(round_))
+    swap = {"k1": "k2", "k2": "k1", **{f"b{c}": f"c{c}" for c in XYZ}, **{f"c{c}": f"b{c}" for c in XYZ}}
+    return placed.where(stays).select(*[F.when(turned, F.col(swap[c])).otherwise(F.col(c)).alias(c) if c in swap else F.col(c) for c in FACES])
 
 
-class Solids:
-    """Two operands, refined once and asked for any number of operations.
+class _Joined:
+    """Jobs of any size by joins."""
 
-    The right operand is closed in every job; a left one that is not (``open_left``) can only be trimmed.
-    Faces without area are left out, as they bound nothing. Empty operands give empty contacts; then every mesh is
-    one patch. Other columns of the operands are not read.
-    """
-
-    def __init__(self, left: DataFrame, right: DataFrame, size: float, open_left: bool = False, crowd: int = CROWD):
+    def __init__(self, left: DataFrame, right: DataFrame, size: float, open_left: bool, crowd: int):
         self.size, self.open_left = size, open_left
-        columns = ["job", "face_id", "v0", "v1", "v2", *CORNERS]
-        solid = lambda df: cut(df.select(*columns).where(V.length2(M._cross()) > 0))
-        self.left, self.right = solid(left), solid(right)
+        self.left, self.right = left, right
         self.met = contacts(self.left, self.right, size)
         while True:
             busy = {s: self._crowded(f, crowd) for s, f in (("left", "lface"), ("right", "rface"))}
@@ -435,7 +433,7 @@ class Solids:
         return self._places
 
     def result(self, operation: str) -> DataFrame:
-        return select_faces(self.refined[0], self.places, operation, self.open_left)
+        return select_faces(self.refined[0].join(self.places.select("face_id", "place"), "face_id"), operation, self.open_left)
 
 
 def quartered(faces: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -455,3 +453,308 @@ def quartered(faces: DataFrame, jobs: DataFrame) -> DataFrame:
     for i in range(3):
         new = new.join(names.select("job", F.col("name").alias(f"k{i}"), F.col("id").alias(f"v{i}")), ["job", f"k{i}"])
     return faces.join(jobs, "job", "left_anti").unionByName(new.select(faces.columns))
+
+
+# Jobs held whole ----------------------------------------------------------------------------
+
+
+def _same_job(number: np.ndarray, first: np.ndarray):
+    """(i, j) in portions of bounded size: rows with the places of those of their job, which begin at ``first``."""
+    sizes = first[number + 1] - first[number]
+    total, start = np.cumsum(sizes), 0
+    while start < len(number):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] - sizes[start] + PAIRS, "right")))
+        n = sizes[start:stop]
+        yield np.repeat(np.arange(start, stop), n), np.arange(n.sum()) + np.repeat(first[number[start:stop]] - np.cumsum(n) + n, n)
+        start = stop
+
+
+class _Roots(dict):
+    """Smallest member of the set of each number; numbers that were never joined stand for themselves."""
+
+    def find(self, n):
+        while self.setdefault(n, n) != n:
+            self[n] = n = self[self[n]]
+        return n
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+
+
+def _chained(segments):
+    """Rows of ``intersection_loops`` of one job from (p, q, place, place) of crossing segments."""
+    net = {}
+    for p, q, x, y in segments:
+        low, high, x, y, sign = (p, q, x, y, 1) if p < q else (q, p, y, x, -1)
+        have = net.get((low, high), (0, x, y))
+        net[low, high] = have[0] + sign, min(have[1], x), min(have[2], y)
+    edges = sorted((low, high, x, y) if sign > 0 else (high, low, y, x) for (low, high), (sign, x, y) in net.items() if sign)
+    leaving, turns, roots = {}, {}, _Roots()
+    for n, edge in enumerate(edges):
+        leaving.setdefault(edge[0], []).append(n)
+    following = []
+    for n, edge in enumerate(edges):
+        k = turns[edge[1]] = turns.get(edge[1], -1) + 1
+        out = leaving.get(edge[1], ())
+        following.append(out[k] if k < len(out) else None)
+        if following[n] is not None:
+            roots.join(n, following[n])
+    return [(roots.find(n), n, following[n], p, q, *x, *y) for n, (p, q, x, y) in enumerate(edges)]
+
+
+def _refined_job(faces, ends, segments):
+    """Rows of ``refine`` of one job: (side, parent, names, seam flags, place of each name), sorted, and the seams.
+
+    faces: (side, face, vertices, corners); ends: (name, place, features of left and right with their faces); segments: (role, lface, rface, p, q).
+    """
+    renamed, places, named = {}, {}, []
+    for name, _, (left, *_), (right, old, *_) in ends:
+        if left == VERTEX and right == VERTEX:
+            old = f"R{old}"
+            renamed[old] = min(renamed.get(old, name), name)
+    # A vertex has its own place, of the left if two share it; other points take the least of the places computed for them.
+    for side, parent, vertices, corners in faces:
+        names = [renamed.get(f"{side}{v}", f"{side}{v}") for v in vertices]
+        named.append((side, parent, names, corners))
+        for n, place in zip(names, (corners[:3], corners[3:6], corners[6:])):
+            places[n] = min(places.get(n, (3,)), (side == "R", *place))
+    on_edge, inside, drawn = {}, {}, {}
+    for name, place, *parts in ends:
+        places[name] = min(places.get(name, (3,)), (2, *place))
+        for side, (kind, one, two, face) in zip("LR", parts):
+            if kind == EDGE:
+                key = side, *sorted(renamed.get(f"{side}{v}", f"{side}{v}") for v in (one, two))
+                on_edge.setdefault(key, set()).add(name)
+            elif kind == FACE:
+                inside.setdefault((side, face), set()).add(name)
+    for role, lface, rface, p, q in segments:
+        for side, face, own in (("L", lface, ON_LEFT), ("R", rface, ON_RIGHT)):
+            if p != q and role in (CROSSING, own):
+                drawn.setdefault((side, face), set()).add((min(p, q), max(p, q)))
+    out, seams = [], set()
+    for side, parent, names, corners in named:
+        points = []
+        for k in range(3):
+            one, two = sorted((names[k], names[(k + 1) % 3]))
+            points += [(n, EDGE, one, two) for n in on_edge.get((side, one, two), ())]
+        points += [(n, FACE, "", "") for n in inside.get((side, parent), ())]
+        lines = sorted(drawn.get((side, parent), ()))
+        if not points and not lines:
+            out.append((side, parent, *names, False, False, False))
+            continue
+        points = [dict(zip(("name", "kind", "one", "two", *XYZ), (*p, *places[p[0]][1:]))) for p in points]
+        for tri, flags in _cut_face(corners, names, points, [{"p": p, "q": q} for p, q in lines]):
+            out.append((side, parent, *tri, *flags))
+            seams |= {tuple(sorted((tri[i], tri[(i + 1) % 3]))) for i in range(3) if flags[i]}
+    out.sort()
+    return out, seams, places
+
+
+class _Bundle:
+    """The faces of whole jobs, sorted by job; jobs go by their numbers in it."""
+
+    def __init__(self, left: pa.Table, right: pa.Table):
+        jobs = pc.unique(pa.chunked_array([*left["job"].chunks, *right["job"].chunks], left.schema.field("job").type))
+        self.jobs = jobs.take(pc.sort_indices(jobs))
+        self.faces, self.number, self.first, self.corners = [], [], [], []
+        for table in (left, right):
+            number = pc.index_in(table["job"], value_set=self.jobs).to_numpy().astype(np.int64)
+            order = np.lexsort((table["face_id"].to_numpy(), number))
+            table = table.take(pa.array(order)).combine_chunks()
+            self.faces.append(table)
+            self.number.append(number[order])
+            self.first.append(np.searchsorted(number[order], np.arange(len(self.jobs) + 1)))
+            self.corners.append(np.column_stack([table[c].to_numpy() for c in CORNERS]).reshape(-1, 3, 3))
+        self.boxes = [(p.min(axis=1), p.max(axis=1)) for p in self.corners]
+
+    def contacts(self) -> dict[int, list]:
+        """The rows of ``contacts`` by job: (role, lface, rface, end, end) with ends as ``_refined_job`` takes them."""
+        found = {}
+        (low, high), (lows, highs) = self.boxes
+        for i, j in _same_job(self.number[0], self.first[1]):
+            near = ((low[i] <= highs[j]) & (lows[j] <= high[i])).all(axis=1)
+            i, j = i[near], j[near]
+            columns = {"job": pa.array(self.number[0][i])}
+            for s, table, rows in (("l", self.faces[0], i), ("r", self.faces[1], j)):
+                rows = table.take(pa.array(rows)).combine_chunks()
+                columns |= {f"{s}face": rows["face_id"].cast(pa.int64()), **{f"{s}v{k}": rows[f"v{k}"].cast(pa.int64()) for k in range(3)}, **{f"{s}{c}": rows[c] for c in CORNERS}}
+            pairs = pa.table(columns).combine_chunks()
+            for batch in _contact_rows(pairs.to_batches()):
+                c = {n: batch[n].to_pylist() for n in batch.schema.names}
+                ends = []
+                for e in "pq":
+                    left = list(zip(c[f"{e}_left"], c[f"{e}_left0"], c[f"{e}_left1"], c["lface"]))
+                    right = list(zip(c[f"{e}_right"], c[f"{e}_right0"], c[f"{e}_right1"], c["rface"]))
+                    ends.append(zip(map(_end_name, left, right), zip(*(c[f"{e}_{x}"] for x in XYZ)), left, right))
+                for job, *row in zip(c["job"], c["role"], c["lface"], c["rface"], *ends):
+                    found.setdefault(job, []).append(row)
+        return found
+
+    def loops(self) -> dict[str, list]:
+        rows = []
+        for job, met in sorted(self.contacts().items()):
+            crossing = [(p[0], q[0], p[1], q[1]) for role, _, _, p, q in met if role == CROSSING and p[0] != q[0]]
+            rows += [(job, *row) for row in _chained(crossing)]
+        return self._columns(rows, ["job", "loop", "edge", "next", "p", "q", *(f"{e}{c}" for e in "pq" for c in XYZ)])
+
+    def refined(self, sides: str) -> dict[str, list]:
+        """Columns of refined faces with their seam flags; faces of the ``sides`` also get their place to the other operand."""
+        met = self.contacts()
+        listed = [list(zip(t["face_id"].to_pylist(), zip(*(t[f"v{k}"].to_pylist() for k in range(3))), p.reshape(-1, 9).tolist())) for t, p in zip(self.faces, self.corners)]
+        rows, roots = [], []
+        for job in range(len(self.jobs)):
+            faces = [(side, *f) for side, own, first in zip("LR", listed, self.first) for f in own[first[job]:first[job + 1]]]
+            mine = met.pop(job, [])
+            cut_, seams, places = _refined_job(faces, [e for m in mine for e in m[3:]], [(role, l, r, p[0], q[0]) for role, l, r, p, q in mine])
+            roots += _patches(cut_, seams, sides, len(rows))
+            rows += [(job, n, *f, *(x for k in f[2:5] for x in places[k][1:])) for n, f in enumerate(cut_)]
+        out = self._columns(rows, ["job", "face_id", "side", "parent", "k0", "k1", "k2", "s0", "s1", "s2", *CORNERS])
+        out["place"] = self._places(np.array([r[0] for r in rows], np.int64), np.array(roots, np.int64), rows)
+        return out
+
+    def _columns(self, rows, names):
+        columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
+        columns["job"] = self.jobs.take(pa.array(columns["job"], pa.int64()))
+        return columns
+
+    def _places(self, number, roots, rows):
+        """Place of each row by the largest face of its patch, ties to the smaller id; none for rows without a root."""
+        place = np.full(len(rows), None, object)
+        asked = np.flatnonzero(roots >= 0)
+        if not len(asked):
+            return place.tolist()
+        corners = np.array([rows[i][10:] for i in asked.tolist()], float).reshape(-1, 3, 3)
+        normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+        area = 0.5 * np.linalg.norm(normals, axis=1)
+        order = np.lexsort((asked, -area, roots[asked]))
+        chosen = order[np.r_[True, np.diff(roots[asked][order]) != 0]]  # by ascending root
+        left = np.array([rows[i][2] == "L" for i in asked[chosen].tolist()])
+        found = np.full(len(chosen), "outside", object)
+        for side, own in ((1, left), (0, ~left)):
+            at = np.flatnonzero(own)
+            pick = chosen[at]
+            found[at] = self._held(side, number[asked[pick]], corners[pick].sum(axis=1) * (1.0 / 3.0), normals[pick])
+        place[asked] = found[np.searchsorted(roots[asked][chosen], roots[asked])]
+        return place.tolist()
+
+    def _held(self, side, number, points, normals, tolerance: float = 1e-9):
+        """Where points of a surface with these normals lie to the faces of one side, as ``mesh.classify_patches`` has it."""
+        above, touched = np.zeros(len(points), np.int64), np.full(len(points), -1)
+        corners, (low, high), ids = self.corners[side], self.boxes[side], self.faces[side]["face_id"].to_numpy()
+        for i, j in _same_job(number, self.first[side]):
+            x, y, z = points[i].T
+            over = (low[j, :2] <= points[i, :2]).all(axis=1) & (points[i, :2] <= high[j, :2]).all(axis=1)
+            f, g = i[over], j[over]
+            np.add.at(above, f, M.faces_above(points[f], corners[g]))
+            gap = np.maximum(0.0, np.maximum(low[j] - points[i], points[i] - high[j]))
+            close = (gap * gap).sum(axis=1) <= tolerance * tolerance
+            f, g = i[close], j[close]
+            batch = {"row": f, "face": g, **dict(zip(XYZ, points[f].T)), **{f"{n}{c}": corners[g, k, m] for k, n in enumerate("abc") for m, c in enumerate(XYZ)}}
+            for near in M._nearest_on_faces(pa.table({n: pa.array(v) for n, v in batch.items()}).to_batches(), ("row", "face")):
+                on = near["d2"].to_numpy() <= tolerance * tolerance
+                for row, face in zip(near["row"].to_numpy()[on].tolist(), near["face"].to_numpy()[on].tolist()):
+                    if touched[row] < 0 or ids[face] > ids[touched[row]]:
+                        touched[row] = face
+        p = corners[touched] if len(corners) else np.zeros((len(points), 3, 3))
+        along = (np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]) * normals).sum(axis=1) > 0
+        return np.where(touched >= 0, np.where(along, "same", "opposite"), np.where(above % 2 == 1, "inside", "outside"))
+
+
+def _end_name(left, right) -> str:
+    """The name of an end from its features (kind, id, id, face), as ``_name`` gives it."""
+    if left[0] == VERTEX:
+        return f"L{left[1]}"
+    if right[0] == VERTEX:
+        return f"R{right[1]}"
+    return "|".join(f"e{one}-{two}" if kind == EDGE else f"f{face}" for kind, one, two, face in (left, right))
+
+
+def _patches(faces, seams, sides: str, base: int) -> list[int]:
+    """For each face of one job the smallest number, counted from ``base``, of its patch between seams; -1 on other sides."""
+    roots, first = _Roots(), {}
+    for n, (side, _, *names) in enumerate(faces):
+        if side in sides:
+            for i in range(3):
+                edge = tuple(sorted((names[i], names[(i + 1) % 3])))
+                if edge not in seams:
+                    roots.join(n, first.setdefault((side, edge), n))
+    return [base + roots.find(n) if f[0] in sides else -1 for n, f in enumerate(faces)]
+
+
+class _Whole:
+    """Jobs of few faces, dealt in bundles."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, sides: str):
+        self.sides, self._faces = sides, {}
+        bundles = max(1, -(-(left.count() + right.count()) // BUNDLE))
+        deal = lambda df: fan_out(df.where("job is not null").withColumn("bundle", F.pmod(F.xxhash64("job"), F.lit(bundles))), "bundle").groupBy("bundle")
+        self.met = deal(left).cogroup(deal(right))
+        self.job = left.schema["job"].dataType.simpleString()
+
+    def _run(self, work, kind: str) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            columns = work(_Bundle(left, right))
+            fields = [(n, t) for n, t in (f.strip().split(" ") for f in kind.split(","))]
+            types = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+            return pa.table([columns[n] if n == "job" else pa.array(columns[n], types[t]) for n, t in fields], names=[n for n, _ in fields])
+
+        return self.met.applyInArrow(run, kind)
+
+    def loops(self) -> DataFrame:
+        return self._run(_Bundle.loops, f"job {self.job}, loop bigint, edge bigint, next bigint, p string, q string, " + ", ".join(f"{e}{c} double" for e in "pq" for c in XYZ))
+
+    def faces(self, placed: bool) -> DataFrame:
+        """Refined faces with seam flags and, if asked for, places."""
+        if True in self._faces or placed in self._faces:
+            return self._faces.get(True, self._faces.get(placed))
+        sides = self.sides if placed else ""
+        kind = f"job {self.job}, side string, face_id bigint, parent bigint, k0 string, k1 string, k2 string, " + ", ".join(
+            [f"{c} double" for c in CORNERS] + [f"s{i} boolean" for i in range(3)] + ["place string"])
+        self._faces[placed] = cut(self._run(lambda bundle: bundle.refined(sides), kind))
+        return self._faces[placed]
+
+    def result(self, operation: str) -> DataFrame:
+        return select_faces(self.faces(True), operation, self.sides == "L")
+
+    @property
+    def refined(self) -> tuple[DataFrame, DataFrame]:
+        faces = self.faces(False)
+        edges = F.explode(F.array(*[F.struct(F.col(f"s{i}").alias("seam"), F.col(f"k{i}").alias("a"), F.col(f"k{(i + 1) % 3}").alias("b")) for i in range(3)]))
+        seams = faces.select("job", edges.alias("e")).where("e.seam").select("job", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
+        return faces.select(FACES), seams
+
+
+class Solids:
+    """Two operands, refined once and asked for any number of operations.
+
+    The right operand is closed in every job; a left one that is not (``open_left``) can only be trimmed.
+    Faces without area are left out, as they bound nothing. Empty operands give empty contacts; then every mesh is
+    one patch. Other columns of the operands are not read. Ids of refined faces are unique within a job.
+    """
+
+    def __init__(self, left: DataFrame, right: DataFrame, size: float, open_left: bool = False, crowd: int = CROWD):
+        self.open_left = open_left
+        columns = ["job", "face_id", "v0", "v1", "v2", *CORNERS]
+        left, right = (cut(df.select(*columns).where(V.length2(M._cross()) > 0)) for df in (left, right))
+        ones = left.select("job", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("job", F.lit(0).alias("l"), F.lit(1).alias("r")))
+        sizes = ones.groupBy("job").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        large = cut(sizes.where((F.greatest("l", "r") > crowd) | (F.col("l") * F.col("r") > PAIRS)).select("job"))
+        if large.isEmpty():
+            self.parts = [_Whole(left, right, "L" if open_left else "LR")]
+        else:
+            few, many = ([df.join(large, "job", how) for df in (left, right)] for how in ("left_anti", "left_semi"))
+            self.parts = [_Whole(*few, "L" if open_left else "LR"), _Joined(*many, size, open_left, crowd)]
+
+    def _all(self, of) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, map(of, self.parts))
+
+    def loops(self) -> DataFrame:
+        return self._all(lambda part: part.loops())
+
+    @property
+    def refined(self) -> tuple[DataFrame, DataFrame]:
+        return self._all(lambda part: part.refined[0].select(FACES)), self._all(lambda part: part.refined[1])
+
+    def result(self, operation: str) -> DataFrame:
+        return self._all(lambda part: part.result(operation).select(FACES))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from pointweave.operators import mesh as M, solids as S
+from pointweave.session import cut
 from pointweave.sources.tables import boxes, part_boxes, supplier_meshes
 from queries.meshes import BOX, SUP
 from queries.registry import lit, query, r, tidy
@@ -18,7 +21,7 @@ v AS (SELECT *, sx*sy*sz AS vol, 2*(sx*sy+sy*sz+sx*sz) AS surface, (sx-dx)*(sy-d
 
 def shifted(spark, sf):
     """Every part box and its copy moved a little along all axes."""
-    left = M.with_corners(*part_boxes(spark, sf)).withColumn("job", F.col("mesh_id"))
+    left = cut(M.with_corners(*part_boxes(spark, sf)).withColumn("job", F.col("mesh_id")))  # both operands come from it
     right = left.withColumns({f"{n}{c}": F.col(f"{n}{c}") + d for c, d in zip(XYZ, SHIFT) for n in "abc"})
     return S.Solids(left, right, 2.0)
 
@@ -48,14 +51,27 @@ def m9_edges(spark, sf):
                                                            F.sum(F.abs(F.col("s") - F.col("t"))).alias("length")))
 
 
+def net_edges(by):
+    """Directed uses of edges summed batch by batch; edges that come out even, as most do where a mesh lies together, are left out."""
+    def run(batches):
+        for batch in batches:
+            a, b = (pa.chunked_array([batch[f"k{(i + s) % 3}"] for i in range(3)]) for s in (0, 1))
+            ahead = pc.less(a, b)
+            rows = pa.table({**{c: pa.chunked_array([batch[c]] * 3) for c in by}, "a": pc.if_else(ahead, a, b), "b": pc.if_else(ahead, b, a), "n": pc.if_else(ahead, pa.scalar(1, pa.int64()), -1)})
+            net = rows.group_by([*by, "a", "b"]).aggregate([("n", "sum")])
+            yield from net.filter(pc.not_equal(net["n_sum"], 0)).select([*by, "a", "b", "n_sum"]).rename_columns([*by, "a", "b", "n"]).to_batches()
+
+    return run
+
+
 def shape(faces, *by):
     """Volume, area and number of edges that faces do not use as often one way as the other."""
     named = faces.select(*by, "face_id", *[F.col(f"k{i}").alias(f"v{i}") for i in range(3)], *S.CORNERS)
     sizes = M.measures(named, list(by))
-    sides = F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("a"), F.col(f"k{(i + 1) % 3}").alias("b")) for i in range(3)])).alias("e")
-    edges = faces.select(*by, sides).groupBy(*by, F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).agg(
-        F.sum(F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1)).alias("n"))
-    return sizes.join(edges.groupBy(*by).agg(F.sum(F.when(F.col("n") != 0, 1).otherwise(0)).alias("open_edges")), list(by))
+    kinds = ", ".join(f"{c} {faces.schema[c].dataType.simpleString()}" for c in by)
+    edges = faces.select(*by, "k0", "k1", "k2").mapInArrow(net_edges(by), f"{kinds}, a string, b string, n bigint").groupBy(*by, "a", "b").agg(F.sum("n").alias("n"))
+    uneven = edges.where("n <> 0").groupBy(*by).agg(F.count("*").alias("open_edges"))
+    return sizes.join(uneven, list(by), "left").fillna(0, ["open_edges"])
 
 
 @query("m11_refined_faces", f"""WITH {SHIFTED}, f AS (SELECT CAST(UNNEST(RANGE(12)) AS BIGINT) AS k), o AS (SELECT UNNEST(['L', 'R']) AS side)
@@ -94,7 +110,7 @@ SELECT job, operation, {r("CASE operation WHEN 'union' THEN va + vb - vi WHEN 'i
 WHERE lap > {lit(1e-9)} OR operation <> 'intersection'""")
 def m12_neighbors(spark, sf):
     """Boxes that reach into the next one or touch it; their lower sides lie in one plane."""
-    placed = M.with_corners(*part_boxes(spark, sf))
+    placed = cut(M.with_corners(*part_boxes(spark, sf)))
     left, right = placed.withColumn("job", F.col("mesh_id")), placed.withColumn("job", F.col("mesh_id") - 1)
     ends = lambda df, f, name: df.groupBy("job").agg(f("ax").alias(name))
     jobs = ends(left, F.max, "high").join(ends(right, F.min, "low"), "job").where("high >= low").select("job")

@@ -105,3 +105,29 @@ def test_triangulations_keep_their_constraints_and_area():
         assert sum(t.turn(*x) for x in tris) == X.GRID ** 2 and all(t.turn(*x) > 0 for x in tris)
         assert all((a, b) in t.apex or (b, a) in t.apex for a, b in chain)
         assert len(tris) == 2 * len(t.at) - 2 - 3
+
+
+def test_pairs_of_small_meshes_are_held_whole_and_come_out_as_by_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    at = lambda: [rng.choice((0.0, 0.25, 0.5, rng.random())) for _ in range(3)]
+    rows = [[(i, *at(), 1.0, 1.0 + 0.1 * i, 1.5) for i in range(9)] for _ in "lr"]
+    left, right = (placed(spark, r) for r in rows)
+    right = right.withColumn("job", F.when(F.col("job") == 8, 7).otherwise(F.col("job")).cast("long")).where("job <> 4")  # two boxes, none, and a job of one side
+    made, plain = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, key=None: made.append(df) or plain(df, key))
+
+    def everything(pairs):
+        monkeypatch.setattr(S, "PAIRS", pairs)
+        made.clear()
+        solids = S.Solids(left, right, 2.0)
+        faces, seams = solids.refined
+        parts = {(r.job, r.side, r.parent): round(r.area, 9) for r in faces.groupBy("job", "side", "parent").agg(F.sum(M.T.triangle_area(*M.corners())).alias("area")).collect()}
+        assert faces.count() == faces.select("job", "face_id").distinct().count()
+        loops = sorted(solids.loops().select("job", "p", "q", *[F.round(c, 9) for c in ("px", "py", "pz", "qx", "qy", "qz")]).collect())
+        sizes = {name: {j: (round(v, 9), n) for j, (v, n) in shapes(solids, name).items()} for name in ("difference",)}
+        return parts, sorted(seams.distinct().collect()), loops, sizes, len(made)
+
+    whole, joined = (everything(pairs) for pairs in (1 << 18, 100))  # the job of one side is held whole in both
+    assert whole[:4] == joined[:4]
+    assert len(whole[0]) == 9 * 12 + 8 * 12 and len(whole[2]) > 20
+    assert whole[4] <= 5 < joined[4]  # tables written: the operands, the list of large jobs, faces with and without places
