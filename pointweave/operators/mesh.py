@@ -454,9 +454,10 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
 
     Searches boxes of growing half-width; a point is settled once its best
     distance fits the searched width. The width doubles each round and the
-    bounding box of the mesh ends the growth.
+    bounding box of the mesh ends the growth. Cells are four times as wide as
+    the half-width, so a point is sent to three or four of them.
     """
-    wanted, done, width = points.select("point_id", *XYZ), None, reach
+    wanted, done, width, placed = points.select("point_id", *XYZ), None, reach, cut(placed)
     ends = placed.agg(*[f(F.col(f"{n}{c}")).alias(f"{f.__name__}_{n}{c}") for f in (F.min, F.max) for n in "abc" for c in XYZ]).first()
     span = points.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in XYZ]).first()
     reachable = 0.0
@@ -466,7 +467,7 @@ def closest_on_surface(points: DataFrame, placed: DataFrame, reach: float) -> Da
         reachable += (high - low) ** 2
     reachable = reachable ** 0.5
     while True:
-        grid = width
+        grid = 4.0 * width
         asked = fan_out(wanted, "point_id")
         for g, c in zip(CELL, XYZ):
             asked = asked.withColumn(g, F.explode(F.sequence(K.cell(F.col(c) - width, grid), K.cell(F.col(c) + width, grid))))
