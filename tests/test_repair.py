@@ -1,14 +1,17 @@
 """Holes, touching fans, near vertices, polygons and curves against plain versions."""
 
+import collections
 import itertools
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import curves as U, mesh as M, polygons as P, repair as R
+from pointweave.session import by_groups
 
 VERTEX, FACE = "mesh_id long, vertex_id long, x double, y double, z double", "mesh_id long, face_id long, v0 long, v1 long, v2 long"
 
@@ -158,3 +161,28 @@ def test_curves_on_a_sheet(spark):
     ends = smooth.orderBy("place").collect()
     assert math.dist((0.5, 0.5), (5.5, 5.0)) <= length(smooth) < length(curve)
     assert (ends[0].x, ends[0].y, ends[-1].x, ends[-1].y) == (0.5, 0.5, 5.5, 5.0)
+
+
+def test_groups_come_whole_and_many_at_a_call(spark):
+    keys = [k for k in range(40) for _ in range(1 + (k * 7) % 11)]
+    plain = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # groups begin and end inside batches, and some are longer than one
+    try:
+        df = spark.createDataFrame([(k, 1) for k in keys], "k long, n long")
+        rows = by_groups(df, "k", lambda t: pa.table({"k": t["k"], "n": t["n"], "calls": pa.array([len(set(t["k"].to_pylist()))] * t.num_rows)}).group_by("k").aggregate(
+            [("n", "sum"), ("calls", "max")]).rename_columns(["k", "n", "groups"]), "k long, n long, groups long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", plain)
+    assert sorted((r.k, r.n) for r in rows) == sorted(collections.Counter(keys).items())
+    assert max(r.groups for r in rows) > 1
+    assert by_groups(df.limit(0), "k", lambda t: t, "k long, n long").count() == 0
+
+
+def test_points_are_sent_to_few_cells_of_faces(spark, monkeypatch):
+    sizes, plain = [], M.K.cell
+    monkeypatch.setattr(M.K, "cell", lambda c, size: sizes.append(size) or plain(c, size))
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 0.0, 1.0, 0.0)], "mesh_id long, vertex_id long, x double, y double, z double")
+    placed = M.with_corners(v, spark.createDataFrame([(0, 0, 0, 1, 2)], "mesh_id long, face_id long, v0 long, v1 long, v2 long"))
+    points = spark.createDataFrame([(0, 0.2, 0.2, -0.5), (1, 9.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    assert sorted((r.point_id, r.distance) for r in M.closest_on_surface(points, placed, 1.0).collect()) == [(0, 0.5), (1, 8.0)]
+    assert min(sizes) == 4.0  # a box of twice the reach touches at most two such cells along an axis
