@@ -186,3 +186,12 @@ def test_points_are_sent_to_few_cells_of_faces(spark, monkeypatch):
     points = spark.createDataFrame([(0, 0.2, 0.2, -0.5), (1, 9.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
     assert sorted((r.point_id, r.distance) for r in M.closest_on_surface(points, placed, 1.0).collect()) == [(0, 0.5), (1, 8.0)]
     assert min(sizes) == 4.0  # a box of twice the reach touches at most two such cells along an axis
+
+
+def test_a_rim_with_a_missing_place_is_left_open_and_a_mesh_without_a_name_is_filled(spark):
+    vertices, faces = sheet(9, {(2, 2), (6, 6)})
+    vertices = [(*v[:4], None) if v[1] == 202 else v for v in vertices]
+    faces = [(None, *f[1:]) for f in faces]
+    new = R.hole_faces(spark.createDataFrame(vertices, VERTEX), spark.createDataFrame(faces, FACE), 12).collect()
+    assert len(new) == 2 and {r.mesh_id for r in new} == {None}
+    assert {v for r in new for v in (r.v0, r.v1, r.v2)} == {606, 607, 706, 707}
